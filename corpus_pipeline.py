@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import grace_dedup, shared, zstd_langid
+from glyphmill.llm import byte_bpe, circulant_minhash, grace_dedup, pfair_mixing, shared, zstd_langid
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,29 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return grace_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("language_id", language), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: one document of each group stays, that of the least id."""
+    return circulant_minhash.drop_near_duplicates(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources: all documents, in the order of a Pfair schedule with square-root weights."""
+    return pfair_mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: token ids beside the columns of the documents; each text is had back from its ids, or it raises."""
+    model = byte_bpe.serialize_model(byte_bpe.read_ranks(byte_bpe.VOCABULARY))
+    return byte_bpe.with_tokens(docs, model)
+
+
+STAGES = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("source_mixture", mixture),
+    ("byte_bpe", tokens),
+]
 
 #: Compression, MinHash and BPE can't be put in SQL; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, which is checkpointed, marked for broadcast if it has no more than ``most`` rows; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, budget: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the text in each is about ``budget`` bytes; a longer text gets a slice of its own."""
     for batch in batches:
@@ -54,3 +60,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, budget: int = 8 << 20
                 start, size = i, 0
             size += length
         yield batch.slice(start)
+
+
+def texts(column: pa.Array) -> list[str | None]:
+    """Strings of a column; bytes that aren't UTF-8 are replaced."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [v.as_buffer().to_pybytes().decode("utf-8", "replace") if v.is_valid else None for v in column]
