@@ -119,7 +119,8 @@ def _cued(text: str, start: int, end: int) -> tuple[int, int, str] | None:
     value = found[1].rstrip(".=-")
     if len(value) < 6 or not any(c.isdigit() for c in value):
         return None
-    return found.start(1), found.start(1) + len(value), "credential" if not value.isdigit() else "account"
+    kind = "ssn" if _SSN.fullmatch(value) else "account" if value.replace("-", "").isdigit() else "credential"
+    return found.start(1), found.start(1) + len(value), kind
 
 
 def find(automaton: ahocorasick.Automaton, text: str) -> list[tuple[str, int, int, str]]:

@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from .shared import slices
 
-SCHEMA = "doc_id long, score double, toxic_tokens double, spans array<struct<start:long,end:long,marginal:double>>"
+SCHEMA = "doc_id long, toxic boolean, score double, toxic_tokens double, spans array<struct<start:long,end:long,marginal:double>>"
 _BITS = 18
 _EDGE = ".,;:!?|\"'()[]{}*#$%&-_"
 _PREFIXES = (4, 5, 6, 7)
 _TOKEN = re.compile(r"\S+")
+#: Marginals under this are no evidence; many small ones of a long text would add up.
+_EVIDENCE = 0.3
 
 
 def features(word: str) -> list[str]:
@@ -222,7 +224,7 @@ def fit_from_labels(
 
 
 def tag(model: Model, texts: pa.Array, threshold: float) -> list[tuple[float, float, list[dict]]]:
-    """For each text its score, the expected number of toxic tokens and the spans of tokens whose marginal reaches the threshold."""
+    """For each text the probability that any token of those with evidence is toxic, the expected number of toxic tokens, and the spans of tokens whose marginal reaches the threshold."""
     words, index, offsets = tokenize(texts)
     u, first = model.potentials(words, index, offsets)
     p, _, _ = marginals(u, first, model.transition, model.start)
@@ -247,18 +249,19 @@ def tag(model: Model, texts: pa.Array, threshold: float) -> list[tuple[float, fl
                     else:
                         spans.append({"start": m.start(), "end": m.end(), "marginal": float(own[k])})
                     last = k
-        out.append((float(own.max()), float(total[b] - total[a]), spans))
+        seen = own[own >= _EVIDENCE]
+        out.append((float(1 - np.exp(np.log1p(-np.minimum(seen, 1 - 1e-9)).sum())), float(total[b] - total[a]), spans))
     return out
 
 
 def score_documents(
-    docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, model: Model, threshold: float = 0.5, least_score: float = 0.9, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """A row (doc_id, score, toxic_tokens, spans) for every row of ``docs``.
+    """A row (doc_id, toxic, score, toxic_tokens, spans) for every row of ``docs``.
 
-    ``score`` is the largest marginal of a token, ``toxic_tokens`` the sum of the marginals, ``spans`` the runs of tokens whose
-    marginals reach ``threshold``, as character offsets from 0 with exclusive ends. A document counts as toxic if
-    ``score`` does. Whole texts are tagged. Null, empty and blank texts score 0 and have no spans; repeated rows repeat;
+    ``score`` is the probability that any token is toxic, of those whose marginals are 0.3 at least; ``toxic_tokens`` is the sum of all
+    marginals, ``spans`` are the runs of tokens whose marginals reach ``threshold``, as character offsets from 0 with exclusive ends.
+    A document is ``toxic`` if its score reaches ``least_score`` and it has a span: one doubtful word isn't enough. Whole texts are tagged. Null, empty and blank texts score 0 and have no spans; repeated rows repeat;
     a null id stays null. Other columns are not read.
     """
 
@@ -266,9 +269,10 @@ def score_documents(
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
         for batch in slices(batches, 1, 4 << 20):
             score, mass, spans = zip(*tag(model, batch.column(1), threshold))
+            toxic = [s >= least_score and bool(x) for s, x in zip(score, spans)]
             yield pa.record_batch(
-                [batch.column(0), pa.array(score, pa.float64()), pa.array(mass, pa.float64()), pa.array(spans, kind)],
-                names=["doc_id", "score", "toxic_tokens", "spans"],
+                [batch.column(0), pa.array(toxic, pa.bool_()), pa.array(score, pa.float64()), pa.array(mass, pa.float64()), pa.array(spans, kind)],
+                names=["doc_id", "toxic", "score", "toxic_tokens", "spans"],
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

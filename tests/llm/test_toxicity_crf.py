@@ -54,7 +54,7 @@ def test_spans_and_held_out_accuracy():
     found = T.tag(model, pa.array(texts), 0.5)
     assert sum((s >= 0.5) == bool(y) for (s, _, _), y in zip(found, labels)) >= 297
     for text, (score, _, spans) in zip(texts, found):
-        assert all(text[s["start"] : s["end"]].strip(".!") in ("vile", "nasty") for s in spans) and bool(spans) == (score >= 0.5)
+        assert all(text[s["start"] : s["end"]].strip(".!") in ("vile", "nasty") for s in spans) and bool(spans) <= (score >= 0.5)
     long = "fine " * 50_000 + "nasty " + "fine " * 10
     (score, mass, spans), *_ = T.tag(model, pa.array([long, None, ""]), 0.5)
     assert score > 0.5 and [long[s["start"] : s["end"]] for s in spans] == ["nasty"]
@@ -65,6 +65,7 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "a vile b", "s"), (2, None, "s"), (3, " ", "s"), (None, "word1", "s"), (1, "a vile b", "s")], "doc_id long, text string, spans string")
     got = sorted((r.doc_id or 0, len(r.spans), r.score > 0.5) for r in T.score_documents(df, model).collect())
     assert got == [(0, 0, False), (1, 1, True), (1, 1, True), (2, 0, False), (3, 0, False)]
+    assert [r.doc_id for r in T.score_documents(df, model).where("toxic").collect()] == [1, 1]
     assert T.score_documents(df.limit(0), model).collect() == []
     none = T.fit([], [])
     assert [r.spans for r in T.score_documents(df, none).collect()] == [[]] * 5
@@ -74,7 +75,7 @@ def test_rows(spark):
 def test_labels_of_tables(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = T.fit_from_labels(docs, labels.where("doc_id % 2 = 0"))
-    rows = T.score_documents(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    rows = T.score_documents(docs, model).withColumnRenamed("toxic", "flag").join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     toxic = [r for r in rows if r.toxic == 1]
-    assert sum(r.score >= 0.5 for r in toxic) >= 0.6 * len(toxic)
-    assert sum(r.score >= 0.5 for r in rows if r.toxic == 0) <= 0.03 * len(rows)
+    assert sum(r.flag for r in toxic) >= 0.6 * len(toxic)
+    assert sum(r.flag for r in rows if r.toxic == 0) <= 0.02 * len(rows)
