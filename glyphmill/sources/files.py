@@ -9,7 +9,6 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..languages import REGISTRY, route
@@ -42,13 +41,11 @@ def known(path: str) -> bool:
 def ordered(files: DataFrame) -> DataFrame:
     """``files`` (path, content, language) with ``file_ord``: language after language by their first path, then by path.
 
-    The order needs only paths; contents aren't moved for it.
+    It is a key to sort by, not a rank, so nothing is brought into one partition; what is broadcast has a row for each language.
     """
-    paths = files.select("path", "language")
-    first = F.min("path").over(W.partitionBy("language"))
-    rank = F.row_number().over(W.orderBy("first", "language", "path")) - 1
-    place = paths.withColumn("first", first).select("path", rank.cast("long").alias("file_ord"))
-    return files.join(place, "path")
+    first = files.groupBy("language").agg(F.min("path").alias("first"))
+    placed = files.join(F.broadcast(first), "language").withColumn("file_ord", F.struct("first", "path"))
+    return placed.select("path", "content", "language", "file_ord")
 
 
 def read(spark: SparkSession, patterns: str | Iterable[str], root: str = ".") -> DataFrame:
@@ -56,11 +53,11 @@ def read(spark: SparkSession, patterns: str | Iterable[str], root: str = ".") ->
     paths = [p for p in resolve(patterns, root) if known(p)]
     base = os.path.abspath(root).rstrip("/") + "/"
     if not paths:
-        return spark.createDataFrame([], "path string, content string, language string, file_ord long")
-    reader = spark.read.option("wholetext", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-    raw = reader.text([_escaped(p) for p in paths])
+        return spark.createDataFrame([], "path string, content string, language string, file_ord struct<first:string,path:string>")
+    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    raw = reader.load([_escaped(p) for p in paths])
     name = F.regexp_replace(F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))"), "^file:/+", "/")
-    rows = raw.select(F.when(name.startswith(base), F.substr(name, F.lit(len(base) + 1))).otherwise(name).alias("path"), F.col("value").alias("content"))
+    rows = raw.select(F.when(name.startswith(base), F.substr(name, F.lit(len(base) + 1))).otherwise(name).alias("path"), F.col("content").cast("string").alias("content"))
     return ordered(route(rows))
 
 
@@ -71,17 +68,17 @@ def _escaped(path: str) -> str:
 def read_tree(spark: SparkSession, folder: str, name: str = "*") -> DataFrame:
     """All files under a folder of any file system whose names match, listed by Spark in parallel; for corpora that are too many to list on the driver."""
     suffixes = sorted({e for x in REGISTRY.values() for e in x.extensions})
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"{name}.{{{','.join(suffixes)}}}")
-    return route(reader.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{name}.{{{','.join(suffixes)}}}")
+    return route(reader.load(folder).select("path", F.col("content").cast("string").alias("content")))
 
 
 def from_rows(spark: SparkSession, rows: Iterable[tuple[str, str]]) -> DataFrame:
     """Files from (path, content) in the order given, language after language as each first comes up."""
     data = [(p, c, k) for k, (p, c) in enumerate(rows)]
     files = route(spark.createDataFrame(data, "path string, content string, given long"))
-    first = F.min("given").over(W.partitionBy("language"))
-    rank = (F.row_number().over(W.orderBy("first", "given")) - 1).cast("long")
-    return files.withColumn("first", first).withColumn("file_ord", rank).drop("first", "given")
+    first = files.groupBy("language").agg(F.min("given").alias("first"))
+    placed = files.join(F.broadcast(first), "language").withColumn("file_ord", F.struct("first", "given"))
+    return placed.select("path", "content", "language", "file_ord")
 
 
 def write_json(rows: DataFrame, path: str) -> None:

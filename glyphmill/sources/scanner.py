@@ -500,7 +500,7 @@ class Source:
                 k = self.pair.get(k, k) - 1  # call options
             if self.is_(k, "!") and self.language.name == "rust":
                 continue
-            if self.word(k) is None or self.tokens[k][1] in _NOT_CALLS and not self.is_(k - 1, ".") or self.is_(k - 1, "emit", "revert", "function", "modifier", "event", "error", "circuit"):
+            if self.word(k) is None or self.tokens[k][1] in _NOT_CALLS and not self.is_(k - 1, ".", "::") or self.is_(k - 1, "emit", "revert", "function", "modifier", "event", "error", "circuit"):
                 continue
             yield self.receiver_start(k), k, self.pair[i]
 

@@ -12,8 +12,9 @@ from ..plans.api import metrics_of_files
 
 def arriving(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content, language) of files that come into a folder."""
-    raw = spark.readStream.format("text").schema("value string").option("wholetext", True).load(folder)
-    return route(raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    raw = spark.readStream.format("binaryFile").schema(schema).load(folder)
+    return route(raw.select("path", F.col("content").cast("string").alias("content")))
 
 
 def write_metrics(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
