@@ -46,11 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``; what each returns is written as Parquet and read as the next one's input."""
+    """The stages applied to ``documents``; what each returns is written as Parquet and read as the next one's input, then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = shared.fresh_dir(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            shared.remove(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, texts
+from .shared import id_and_text, slices, texts
 
 #: Words that announce an identifier, each looked for in lower case, upper case and capitalised.
 CUES = (
@@ -190,5 +190,5 @@ def find_private(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                     names=["doc_id", "kind", "start", "end", "value"],
                 )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = id_and_text(docs, doc_id, text)
     return rows.mapInArrow(scan, SCHEMA)

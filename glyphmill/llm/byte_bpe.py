@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices, texts
+from .shared import id_and_text, pick, slices, texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokens of the 50k vocabulary.
@@ -135,7 +135,7 @@ def encode_documents(
                 names=["doc_id", "n_tokens", "token_ids", "lossless"],
             )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = id_and_text(docs, doc_id, text)
     return rows.mapInArrow(encode, "doc_id long, n_tokens long, token_ids array<int>, lossless boolean")
 
 
@@ -148,16 +148,15 @@ def decode_documents(rows: DataFrame, model: bytes, ids: str = "token_ids", doc_
             out = [None if x is None else bpe.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    rows = rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids"))
+    rows = pick(rows, doc_id=doc_id, ids=ids).select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>"))
     return rows.mapInArrow(decode, "doc_id long, text string")
 
 
 def with_tokens(docs: DataFrame, model: bytes, pattern: str = PATTERN, text: str = "text") -> DataFrame:
     """``docs`` with ``token_ids`` and ``n_tokens``, which replace columns of those names; all rows and other columns are kept. Raises if a text can't be had back from its ids."""
-    docs = docs.drop("token_ids", "n_tokens")
-    names = docs.columns
+    names = [n for n in docs.columns if n not in ("token_ids", "n_tokens")]
     at = names.index(text)
-    packed = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    packed = pick(docs, **{f"c{i}": n for i, n in enumerate(names)})
     schema = T.StructType(
         [*packed.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
     )

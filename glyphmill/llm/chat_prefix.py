@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import pick
+
 END = "<|end|>"
 
 
@@ -25,12 +27,12 @@ def expand_prefixes(
     A conversation without such a turn has no row, and one that begins with it has an example without context. Other
     columns are not read. The one shuffle is by conversation.
     """
-    rows = turns.select(
-        F.col(conv_id).alias("conv_id"),
+    rows = pick(turns, conv_id=conv_id, turn=turn, role=role, text=text).select(
+        "conv_id",
         F.struct(
-            F.col(turn).cast("long").alias("turn"),
-            F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
-            F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+            F.col("turn").cast("long").alias("turn"),
+            F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
     ).where("conv_id is not null and t.turn is not null")
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("all"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, slices, small
+from .shared import cut, id_and_text, slices, small
 
 #: Coordinates are shifts of one permutation of this many places.
 UNIVERSE = 1 << 22
@@ -124,7 +124,7 @@ def _signed(
                 names=["doc_id", "mark", "bands"],
             )
 
-    rows_ = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows_ = id_and_text(docs, doc_id, text)
     return rows_.where("doc_id is not null and text is not null").mapInArrow(
         sign, "doc_id long, mark binary, bands array<long>"
     )
@@ -145,7 +145,7 @@ def _shingle_sets(docs: DataFrame, text: str, doc_id: str, ids: DataFrame, words
                 names=["doc_id", "shingles"],
             )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = id_and_text(docs, doc_id, text)
     rows = rows.where("doc_id is not null and text is not null").join(small(ids), "doc_id", "left_semi")
     return rows.mapInArrow(collect, "doc_id long, shingles array<long>")
 
@@ -208,7 +208,7 @@ def near_duplicates(
     ``words`` is one shingle. Rows that share an id are one document, near another if any of its rows is.
     Other columns are not read; an empty table gives no rows.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = id_and_text(docs, doc_id, text)
     text, doc_id = "text", "doc_id"
     signed = cut(_signed(docs, text, doc_id, words, bands, rows, seed))
     equal = signed.groupBy("mark").agg(F.min("doc_id").alias("rep"))

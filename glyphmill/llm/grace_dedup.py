@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh_dir
+from .shared import fresh_dir, pick
 
 #: Hash bits that one level of spilling uses, and the levels that a 128-bit hash allows.
 _BITS, _LEVELS = 4, 32
@@ -203,8 +203,8 @@ def exact_duplicates(
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from GraceDedup(base, 1, bucket_bytes, False).run(batches)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.where("doc_id is not null and text is not null").repartition(F.xxhash64("text"))
+    rows = pick(docs, doc_id=doc_id, text=text)
+    rows = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null").repartition(F.xxhash64("text"))
     return rows.mapInArrow(copies, "doc_id long, duplicate_of long")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, pick
 
 #: Parts of the lists that are read before bounds are compared; then they are read to their ends.
 DEPTHS = (0.5, 0.875)
@@ -94,7 +94,7 @@ def top_k(
     take no part; vectors of unlike length aren't compared. Of rows that share an id, that with the greatest
     vector counts. With fewer than k others, all are listed. Other columns are not read.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("v"))
+    rows = pick(vectors, id=vec_id, v=embedding).select(F.col("id").cast("long"), F.col("v").cast("array<float>"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & finite)
     rows = rows.groupBy("id").agg(F.max("v").alias("v")).withColumn("dim", F.size("v"))

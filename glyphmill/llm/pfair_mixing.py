@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import pick
+
 #: More rows of schedule than these are joined by a shuffle instead of a broadcast.
 _BROADCAST_ROWS = 1_000_000
 #: Documents that share a bucket in which they are ranked; the number of buckets grows with the corpus.
@@ -134,7 +136,7 @@ def schedule(
     are placed like others; rows that share an id have places next to each other, in no given order. Other columns
     are not read; an empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"))
+    rows = pick(docs, doc_id=doc_id, source=source)
     rows = rows.withColumn("key", _key("source")).withColumn("h", F.xxhash64("doc_id"))
     out, _ = _placed(rows, "key", ["h", "doc_id"], targets, alpha, block_docs, resolution)
     return out.select("doc_id", "source", "phase", "block", "slot", "place")

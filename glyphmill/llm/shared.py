@@ -38,6 +38,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def pick(df: DataFrame, **wanted: str) -> DataFrame:
+    """Columns by their exact names under others; columns that differ in case only, or come twice, don't clash."""
+    names = df.columns
+    packed = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return packed.select(*[F.col(f"c{names.index(old)}").alias(new) for new, old in wanted.items()])
+
+
+def id_and_text(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text); bytes that aren't UTF-8 are replaced."""
+    rows = pick(df, doc_id=doc_id, text=text)
+    return rows.select(F.col("doc_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string")).alias("text"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on any file system."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df``, which is checkpointed, marked for broadcast if it has no more than ``most`` rows; else the join shuffles."""
     return F.broadcast(df) if df.count() <= most else df

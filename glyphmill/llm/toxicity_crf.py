@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import id_and_text, pick, slices
 
 SCHEMA = "doc_id long, toxic boolean, score double, toxic_tokens double, spans array<struct<start:long,end:long,marginal:double>>"
 _BITS = 18
@@ -210,14 +210,14 @@ def fit_from_labels(
     label: str = "toxic",
 ) -> Model:
     """A model from at most ``sample_toxic`` and ``sample_clean`` labelled documents, those with the least hashes of their ids; their number doesn't grow with the corpus."""
-    marked = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic"))
+    marked = pick(labels, doc_id=doc_id, toxic=label).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
     marked = marked.where("doc_id is not null")
     some = [
         marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         for k, n in ((1, sample_toxic), (0, sample_clean))
     ]
     chosen = F.broadcast(some[0].union(some[1]))  # bounded by the two parameters
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = id_and_text(docs, doc_id, text)
     table = rows.where("text is not null").join(chosen, "doc_id").select("doc_id", "text", "toxic").toArrow()
     table = table.sort_by("doc_id")
     return fit(table["text"].to_pylist(), table["toxic"].to_pylist())
@@ -275,5 +275,5 @@ def score_documents(
                 names=["doc_id", "toxic", "score", "toxic_tokens", "spans"],
             )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = id_and_text(docs, doc_id, text)
     return rows.mapInArrow(run, SCHEMA)

@@ -9,7 +9,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, small
+from .shared import cut, pick, small
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -50,12 +50,14 @@ def resolve(
     payload are captures alike: all are responses, if they are the original. A revisit whose original isn't there refers to
     nothing. Line breaks in addresses become spaces, a null address has no header. Other columns are not read.
     """
-    kind = F.lit("response") if record_type is None else F.coalesce(F.lower(F.col(record_type)), F.lit("response"))
-    given = F.lit(None).cast("string") if payload_digest is None else F.col(payload_digest).cast("string")
-    body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
+    wanted = {"page_id": page_id, "url": url, "payload": payload, "kind": record_type, "given": payload_digest}
+    pages = pick(pages, **{k: v for k, v in wanted.items() if v is not None})
+    kind = F.lit("response") if record_type is None else F.coalesce(F.lower(F.col("kind")), F.lit("response"))
+    given = F.lit(None).cast("string") if payload_digest is None else F.col("given").cast("string")
+    body = F.coalesce(F.col("payload").cast("string"), F.lit(""))
     rows = pages.select(
-        F.col(page_id).cast("long").alias("page_id"),
-        F.regexp_replace(F.col(url).cast("string"), "[\\r\\n]+", " ").alias("url"),
+        F.col("page_id").cast("long").alias("page_id"),
+        F.regexp_replace(F.col("url").cast("string"), "[\\r\\n]+", " ").alias("url"),
         F.when(kind == "revisit", F.lit("")).otherwise(body).alias("payload"),
         (kind == "revisit").alias("again"),
         F.when(kind == "revisit", F.coalesce(given, F.lit("unknown"))).otherwise(F.concat(F.lit("sha256:"), F.sha2(body, 256))).alias("digest"),

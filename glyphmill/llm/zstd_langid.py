@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import id_and_text, pick, slices, texts
 
 SCHEMA = "doc_id long, lang_id string, best_bytes long, second_bytes long, margin double, rejected boolean"
 #: ASCII bytes that aren't letters become spaces: digits and signs say nothing about the language.
@@ -35,7 +35,8 @@ def fit_dictionaries(
     Rows without text or label are left out.
     """
     rows = (
-        docs.select(F.col(label).alias("l"), F.substring(F.col(text), 1, dict_bytes).alias("t"))
+        pick(docs, l=label, t=text)
+        .select("l", F.substring("t", 1, dict_bytes).alias("t"))
         .where("l is not null and length(t) > 0")
         .select("l", "t", F.xxhash64("t").alias("h"))
     )
@@ -119,7 +120,7 @@ def identify_language(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(dictionaries, level)
         for batch in slices(batches, 1):
-            rows = [coder.decide(t.as_py(), least_margin) for t in batch.column(1)]
+            rows = [coder.decide(t, least_margin) for t in texts(batch.column(1))]
             name, best, second, margin, rejected = zip(*rows)
             yield pa.record_batch(
                 [
@@ -133,9 +134,7 @@ def identify_language(
                 names=["doc_id", "lang_id", "best_bytes", "second_bytes", "margin", "rejected"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        score, SCHEMA
-    )
+    return id_and_text(docs, doc_id, text).mapInArrow(score, SCHEMA)
 
 
 def keep_identified(
@@ -159,7 +158,7 @@ def keep_identified(
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(dictionaries, level)
         for batch in slices(batches, at):
-            rows = [coder.decide(t.as_py(), least_margin) for t in batch.column(at)]
+            rows = [coder.decide(t, least_margin) for t in texts(batch.column(at))]
             keep = pa.array([not r[4] for r in rows], pa.bool_())
             columns = list(batch.columns)
             if mark >= 0:

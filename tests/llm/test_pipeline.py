@@ -38,3 +38,19 @@ def test_every_stage_takes_an_empty_table(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, str(SF))
         assert docs.collect() == []
+
+
+def test_every_stage_takes_nulls_ties_and_clashing_names(spark):
+    """Rows without a text can't be identified and go; others of one text are one document."""
+    from pyspark.sql import functions as F
+
+    text = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 500").orderBy("doc_id").first().text
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text, None, None, None), (None, text + " more words here", "en", "b", 1), (4, None, "en", "a", 1), (5, "", "en", "a", 1), (6, text * 40, "en", "a", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("c0", "k", "slot", "key", "bucket", "h", "__gone", "mark", "duplicate_of", "TEXT_"):
+        docs = docs.withColumn(name, F.lit("x"))
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, str(SF))
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    assert sorted((r.doc_id or 0 for r in docs.collect())) == [0, 1] and docs.where("n_tokens > 0").count() == 2
