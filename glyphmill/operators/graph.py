@@ -95,7 +95,7 @@ def _symbols(facts: DataFrame, files: DataFrame, language: str) -> DataFrame:
     """Functions as symbols, in the order in which they are found; ``raw`` is not yet unique by id."""
     f = facts.where((F.col("fact") == "function") & (F.col("language") == language)).join(files.select("path", "file_ord"), "path")
     name, raw = F.col("name"), F.col("text")
-    token, receiver, reach = F.col("libs")[0], F.col("libs")[1], F.col("libs")[2]
+    token, receiver = F.col("libs")[0], F.col("libs")[1]
     clean = X.clean_signature(raw)
     if language == "solidity":
         params = F.transform("names", X.clean_signature)
@@ -105,10 +105,14 @@ def _symbols(facts: DataFrame, files: DataFrame, language: str) -> DataFrame:
         visibility = F.when(special, "external").otherwise(solidity_visibility(token, F.substring_index(clean, "{", 1), kind))
         ident, phase = F.concat(F.coalesce(F.concat(container, F.lit(".")), F.lit("")), own), F.when(container.isNull(), 1).otherwise(0)
     elif language == "rust":
-        f = f.where(~reach.isin("inner", "trait"))
-        container, kind = F.col("owner"), F.col("owner_kind")
+        # A function of an implementation in a module of the file is a symbol of both.
+        free, inner, module = F.col("libs")[2], F.col("libs")[3], F.col("libs")[4]
+        place = lambda name, phase: F.struct(name.alias("container"), F.lit(phase).alias("phase"))
+        places = F.array_compact(F.array(F.when(inner.isNotNull(), place(inner, 0)), F.when(module.isNotNull(), place(module, 1)), F.when(free.isNotNull() & inner.isNull(), place(F.lit(None).cast("string"), 1))))
+        f = f.withColumn("at", F.explode(places))
+        container, kind = F.col("at.container"), F.lit(None).cast("string")
         visibility = rust_visibility(token)
-        ident, phase = F.concat(F.coalesce(F.concat(container, F.lit("::")), F.lit("")), name), F.lit(0)
+        ident, phase = F.concat(F.coalesce(F.concat(container, F.lit("::")), F.lit("")), name), F.col("at.phase")
     else:
         container, kind = go_receiver(receiver), F.lit(None).cast("string")
         visibility = go_visibility(name)
@@ -189,7 +193,7 @@ def call_graph(facts: DataFrame, files: DataFrame, language: str) -> tuple[DataF
     calls = facts.where((F.col("fact") == "call") & (F.col("language") == language)).select(
         F.col("path").alias("file"), "fn_ord", F.col("ord").alias("call_ord"), "kind", "name", F.col("owner").alias("receiver")
     )
-    callers = table.select("file", "fn_ord", F.col("id").alias("src"), "container", F.col("file_ord"))
+    callers = first_match(table, ["file", "fn_ord"], ["ord"]).select("file", "fn_ord", F.col("id").alias("src"), "container", "file_ord")
     sites = calls.join(callers, ["file", "fn_ord"])
     found = first_match(_resolve(language, sites, raw, facts), ["file", "fn_ord", "call_ord"], ["prio", "key", "s_ord"])
     kind = edge_kind(F.col("kind"), F.col("s_kind"), F.col("s_visibility")) if language == "solidity" else F.lit("internal")

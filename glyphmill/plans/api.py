@@ -65,8 +65,8 @@ def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return G.combined(facts_of(files), files)
 
 
-def _sides(spark: SparkSession, base: str, head: str, paths: Iterable[str], cwd: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The diff, and the files of known languages before and after. Both sides are of the revisions compared: where they parted, and the head."""
+def _sides(spark: SparkSession, base: str, head: str, paths: Iterable[str], cwd: str, working_tree: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The diff, and the files of known languages before and after: where the revisions parted, and the head, or what lies in the working tree now."""
     diffs = git.parse_diffs(spark, git.diff_text(base, head, paths, cwd)).persist(StorageLevel.MEMORY_AND_DISK)
     # Paths of a diff are few beside the contents that git reads for them on the driver.
     listed = [(r.path, r.old_path, r.status) for r in D.status(diffs).select("path", "old_path", "status").collect() if S.known(r.path)]
@@ -74,12 +74,16 @@ def _sides(spark: SparkSession, base: str, head: str, paths: Iterable[str], cwd:
     # A renamed file is compared under its new name.
     names = spark.createDataFrame([(o, p) for p, o, s in listed if s != "added" and o], "old string, new string")
     before = before.join(names, F.col("path") == F.col("old")).select(F.col("new").alias("path"), "content")
-    after = git.snapshots(spark, head, [p for p, _, s in listed if s != "deleted"], cwd)
+    kept = [p for p, _, s in listed if s != "deleted"]
+    after = git.working_tree(spark, kept, cwd) if working_tree else git.snapshots(spark, head, kept, cwd)
     return diffs, route(before), route(after)
 
 
-def diff_metrics(spark: SparkSession, base: str, head: str = "HEAD", paths: Iterable[str] = (), cwd: str = ".") -> Report:
-    diffs, before, after = _sides(spark, base, head, paths, cwd)
+def diff_metrics(
+    spark: SparkSession, base: str, head: str = "HEAD", paths: Iterable[str] = (), cwd: str = ".", working_tree: bool = False
+) -> Report:
+    """Metrics of changed lines by file, with totals."""
+    diffs, before, after = _sides(spark, base, head, paths, cwd, working_tree)
     changes = D.changed_lines(diffs)
     gone = before.join(changes.where("status = 'deleted'").select("path"), "path", "left_semi").withColumn("content", F.lit(""))
     files = after.unionByName(gone)
@@ -88,14 +92,20 @@ def diff_metrics(spark: SparkSession, base: str, head: str = "HEAD", paths: Iter
 
 
 def diff(
-    spark: SparkSession, base: str, head: str = "HEAD", paths: Iterable[str] = (), output: str = "full", cwd: str = "."
+    spark: SparkSession,
+    base: str,
+    head: str = "HEAD",
+    paths: Iterable[str] = (),
+    output: str = "full",
+    cwd: str = ".",
+    working_tree: bool = False,
 ) -> DataFrame:
     """``full``: (path, status, diff) of all files; ``signatures``: (path, status, added, modified, removed) of those in known languages."""
     if output == "full":
         return D.full_diff(git.parse_diffs(spark, git.diff_text(base, head, paths, cwd)))
     if output != "signatures":
         raise ValueError(f"output is full or signatures, not {output}")
-    diffs, before, after = _sides(spark, base, head, paths, cwd)
+    diffs, before, after = _sides(spark, base, head, paths, cwd, working_tree)
     old, new = (M.signatures(facts_of(x.where("content <> ''")), 120) for x in (before, after))
     changes = D.changed_lines(diffs)
     # Without both contents there is nothing to compare in a modified file.

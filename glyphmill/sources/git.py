@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from collections.abc import Iterable, Iterator
@@ -136,3 +137,15 @@ def snapshots(spark: SparkSession, ref: str, paths: Iterable[str], cwd: str = ".
             rows.append((n, out[place : place + size].decode("utf-8", "replace")))
         place += size + 1
     return spark.createDataFrame(rows, "path string, content string")
+
+
+def working_tree(spark: SparkSession, paths: Iterable[str], cwd: str = ".") -> DataFrame:
+    """(path, content) of files as they lie on the driver now; files that aren't there have no row."""
+    rows = []
+    for name in dict.fromkeys(paths):
+        try:
+            with open(os.path.join(cwd, name), "rb") as source:
+                rows.append((name, source.read().decode("utf-8", "replace")))
+        except OSError:
+            continue
+    return spark.createDataFrame(rows, "path string, content string")

@@ -555,7 +555,7 @@ def scan(path: str, name: str, text: str) -> Iterator[dict]:
         owner = [c for c in containers if c["body"] is not None and c["body"] < f["s"] and f["e"] <= c["e"]]
         inner = max(owner, key=lambda c: c["body"], default=None)
         f["ord"] = k
-        yield span | {"fact": "function", "ord": k, "text": raw, "owner": inner and inner["name"], "owner_kind": inner and inner["kind"], "names": _params(src, f), "libs": [_visibility(src, f), _receiver(src, f), str(_reach(src, f, owner))]}
+        yield span | {"fact": "function", "ord": k, "text": raw, "owner": inner and inner["name"], "owner_kind": inner and inner["kind"], "names": _params(src, f), "libs": [_visibility(src, f), _receiver(src, f), *_reach(src, f, owner)]}
         like = src.language.functionlike and body_idx is not None
         yield span | {"fact": "norm", "ord": k, "kind": "function", "name": f["name"], "body_idx": body_idx if like else None, "body_row": span["body_row"] if like else None}
     calls = list(src.calls(defined)) if name != "masm" else []
@@ -658,15 +658,12 @@ def _receiver(src: Source, f: dict) -> str | None:
     return None if r is None else src.text[src.tokens[r][2] : src.tokens[src.pair[r]][3]]
 
 
-def _reach(src: Source, f: dict, owner: list[dict]) -> str:
-    """impl, mod, free or none: where Rust looks for functions; body for those inside of other functions."""
-    kinds = [c["kind"] for c in sorted(owner, key=lambda c: c["body"])]
-    depth = src.depth[f["s"]]
-    if "impl" in kinds:
-        return "impl"
-    if "trait" in kinds:
-        return "trait"
-    return "mod" if kinds == ["mod"] and depth == 1 else "free" if depth == 0 else "inner"
+def _reach(src: Source, f: dict, owner: list[dict]) -> list[str | None]:
+    """Whether a function is free, the name of the innermost implementation around it, that of the module of the file around it."""
+    free = "free" if src.depth[f["s"]] == 0 else None
+    inner = max((c for c in owner if c["kind"] == "impl"), key=lambda c: c["body"], default=None)
+    module = next((c["name"] for c in owner if c["kind"] == "mod" and src.depth[c["s"]] == 0), None)
+    return [free, inner and inner["name"], module]
 
 
 def _call_sites(src: Source, functions: list[dict], calls: list[tuple[int, int, int]]) -> Iterator[dict]:

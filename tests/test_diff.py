@@ -90,6 +90,8 @@ def test_git(spark, repository):
     assert {r.status: r.files for r in report.by_status.collect()} == {"added": 1, "deleted": 1, "modified": 2}
     assert [r.path for r in api.diff(spark, "main~1", "main", ["notes.txt"], cwd=repository).collect()] == ["notes.txt"]
     assert api.diff(spark, "main", "main", cwd=repository).collect() == []
+    now = api.diff(spark, "main~1", "main", ["a.sol"], "signatures", repository, working_tree=True).first()
+    assert (now.added, now.modified, len(now.removed)) == ([], [], 3)
 
 
 def test_bad_revisions_are_errors(spark, repository):
