@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +18,46 @@ SCHEMA = "doc_id long, toxic boolean, score double, toxic_tokens double, spans a
 _BITS = 18
 _EDGE = ".,;:!?|\"'()[]{}*#$%&-_"
 _PREFIXES = (4, 5, 6, 7)
+_SEED = np.uint64(0xC2B2AE3D27D4EB4F)
 _TOKEN = re.compile(r"\S+")
 #: Marginals under this are no evidence; many small ones of a long text would add up.
 _EVIDENCE = 0.3
 
 
-def features(word: str) -> list[str]:
-    """What a word says of itself; neighbours are the words beside it."""
-    return [f"w{word}", *(f"p{word[:n]}" for n in _PREFIXES if len(word) > n), f"s{word[-4:]}"]
+def hash_words(words: list[str]) -> np.ndarray:
+    """Hashes of the features of each word: the word, its first 4, 5, 6 and 7 characters, its last 4. 0 where it has none, as prefixes of the whole word.
 
+    Of a longer word the first 40 characters count, and its length.
+    """
+    out = np.zeros((len(words), 6), np.uint64)
+    if not words:
+        return out
+    codes = np.array(words, "U40").view(np.uint32).reshape(len(words), -1)
+    length = (codes != 0).sum(axis=1)
+    h = np.full(len(words), _SEED, np.uint64)
+    for j in range(int(length.max())):
+        h = np.where(j < length, _mixed(h ^ codes[:, j]), h)
+        if j + 1 in _PREFIXES:
+            k = _PREFIXES.index(j + 1) + 1
+            out[:, k] = np.where(length > j + 1, h * np.uint64(2 * k + 1) | np.uint64(1), 0)
+    total = np.fromiter(map(len, words), np.uint64, len(words))
+    end = np.full(len(words), ~_SEED, np.uint64)
+    rows = np.arange(len(words))
+    for back in (4, 3, 2, 1):
+        end = np.where(length >= back, _mixed(end ^ codes[rows, np.maximum(length - back, 0)]), end)
+    out[:, 0], out[:, 5] = _mixed(h ^ total) | np.uint64(1), end | np.uint64(1)
+    out[length == 0] = 0
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
-def _bucket(name: str) -> int:
-    return xxhash.xxh32_intdigest(name.encode("utf-8", "replace")) >> (32 - _BITS)
+
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    """Places of weights; that behind the last is always 0."""
+    return np.where(hashes != 0, (_mixed(hashes) >> np.uint64(64 - _BITS)).astype(np.int64), 1 << _BITS)
 
 
 def tokenize(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -116,23 +142,13 @@ class Model:
     right: np.ndarray
     transition: np.ndarray
     start: float
-    known: dict[str, tuple[float, float, float]] = field(default_factory=dict, repr=False, compare=False)
-
-    def _score(self, word: str) -> tuple[float, float, float]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            near = _bucket(f"w{word}")
-            found = (float(self.own[[_bucket(f) for f in features(word)]].sum()), float(self.left[near]), float(self.right[near]))
-            self.known[word] = found
-        return found
 
     def potentials(self, words: list[str], index: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        table = np.array([self._score(w) for w in words]).reshape(-1, 3)
+        at = _buckets(hash_words(words))
         first = np.zeros(len(index), bool)
         first[offsets[:-1][np.diff(offsets) > 0]] = True
-        return _log_odds(table[:, 0], table[:, 1], table[:, 2], index, first), first
+        own = self.own[at].sum(axis=1, dtype=np.float64)
+        return _log_odds(own, self.left[at[:, 0]], self.right[at[:, 0]], index, first), first
 
 
 def _log_odds(own: np.ndarray, left: np.ndarray, right: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -143,58 +159,85 @@ def _log_odds(own: np.ndarray, left: np.ndarray, right: np.ndarray, index: np.nd
     return u
 
 
-def label_tokens(words: list[str], index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def label_tokens(hashes: np.ndarray, index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Labels of tokens from labels of documents: 1 in a toxic document for words with a feature that toxic documents alone share."""
-    seen = [Counter(), Counter()]
-    of = [features(w) if w else [] for w in words]
-    for i, label in enumerate(toxic):
-        seen[int(label)].update({f for w in np.unique(index[offsets[i] : offsets[i + 1]]) for f in of[w]})
+
+    def seen(i: int) -> np.ndarray:
+        own = np.unique(hashes[np.unique(index[offsets[i] : offsets[i + 1]])])
+        return own[own != 0]
+
     n = [max(1, int((toxic == 0).sum())), max(1, int((toxic == 1).sum()))]
     least = max(3, n[1] // 150)
-    marks = {f for f, c in seen[1].items() if c >= least and (c / n[1]) >= 40 * ((seen[0][f] + 0.2) / n[0])}
-    marked = np.array([any(f in marks for f in fs) for fs in of], bool)
-    return (marked[index] & np.repeat(toxic.astype(bool), np.diff(offsets))).astype(float)
+    found = [seen(i) for i in np.flatnonzero(toxic == 1)]
+    names, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
+    names, counts = names[counts >= least], counts[counts >= least]
+    clean = np.zeros(len(names))
+    for i in np.flatnonzero(toxic == 0) if len(names) else ():
+        own = seen(i)
+        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        clean[at[names[at] == own]] += 1
+    marks = names[counts / n[1] >= 40 * ((clean + 0.2) / n[0])]
+    marked = np.isin(hashes, marks).any(axis=1)
+    return (marked[index] & np.repeat(toxic.astype(bool), np.diff(offsets))).astype(np.float32)
+
+
+def _parts(first: np.ndarray, size: int = 400_000) -> list[slice]:
+    """Runs of whole texts of about ``size`` tokens, which are all that is worked on at a time."""
+    begin = np.flatnonzero(first)
+    cuts = [0]
+    for at in begin:
+        if at - cuts[-1] >= size:
+            cuts.append(int(at))
+    return [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(first)]) if b > a]
 
 
 def fit(texts: list[str], toxic: list[int], epochs: int = 40, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """Maximum likelihood by Adagrad over the whole sample in each epoch."""
+    """Maximum likelihood by Adagrad; each epoch goes over the whole sample, part by part."""
     words, index, offsets = tokenize(pa.array(texts, pa.string()))
-    y = label_tokens(words, index, offsets, np.array(toxic))
+    hashes = hash_words(words)
+    y = label_tokens(hashes, index, offsets, np.array(toxic))
     first = np.zeros(len(index), bool)
     first[offsets[:-1][np.diff(offsets) > 0]] = True
-    size = 1 << _BITS
-    hashed = [[_bucket(f) for f in features(w)] for w in words]
-    flat = np.array([b for bs in hashed for b in bs], np.int64)
-    owner = np.repeat(np.arange(len(words)), [len(bs) for bs in hashed])
-    near = np.array([bs[0] for bs in hashed], np.int64)
+    size = (1 << _BITS) + 1
+    at = _buckets(hashes).astype(np.int32)
+    near = at[:, 0]
     weights = {k: np.zeros(size) for k in ("own", "left", "right")}
     transition, start = np.array([[0.0, -3.0], [0.0, 0.0]]), -3.0
     square = {k: np.full(size, 1e-3) for k in weights} | {"t": np.full((2, 2), 1e-3), "s": 1e-3}
-    n = max(1, len(index))
-    inner = np.flatnonzero(~first[1:])
+    n, count = max(1, len(index)), len(words)
+    parts = _parts(first)
     for _ in range(epochs if len(index) else 0):
-        own = np.bincount(owner, weights["own"][flat], len(words))
-        u = _log_odds(own, weights["left"][near], weights["right"][near], index, first)
-        p, alpha, beta = marginals(u, first, transition, start)
-        gap = y - p
-        grad = {"own": np.bincount(flat, np.bincount(index, gap, len(words))[owner], size)}
-        grad["left"] = np.bincount(near, np.bincount(index[inner], gap[inner + 1], len(words)), size)
-        grad["right"] = np.bincount(near, np.bincount(index[inner + 1], gap[inner], len(words)), size)
+        own = weights["own"][at].sum(axis=1)
+        left, right = weights["left"][near], weights["right"][near]
+        by_word = {k: np.zeros(count) for k in weights}
+        pairs, begins = np.zeros((2, 2)), 0.0
+        t = np.exp(transition)
+        for part in parts:
+            i, f, yy = index[part], first[part], y[part]
+            u = _log_odds(own, left, right, i, f)
+            p, alpha, beta = marginals(u, f, transition, start)
+            gap, inner = yy - p, np.flatnonzero(~f[1:])
+            by_word["own"] += np.bincount(i, gap, count)
+            by_word["left"] += np.bincount(i[inner], gap[inner + 1], count)
+            by_word["right"] += np.bincount(i[inner + 1], gap[inner], count)
+            x, b = np.exp(np.clip(u, -30, 30))[inner + 1], beta[inner + 1]
+            a0 = 1 / (1 + alpha[inner])
+            pair = np.array([[a0 * t[0, 0], a0 * t[0, 1] * x * b], [(1 - a0) * t[1, 0], (1 - a0) * t[1, 1] * x * b]])
+            y0, y1 = yy[inner].astype(float), yy[inner + 1].astype(float)
+            real = np.array([[(1 - y0) @ (1 - y1), (1 - y0) @ y1], [y0 @ (1 - y1), y0 @ y1]])
+            pairs += real - (pair / pair.sum(axis=(0, 1))).sum(axis=2)
+            begins += float(gap[f].sum())
+        grad = {"own": np.bincount(at.reshape(-1), np.repeat(by_word["own"], at.shape[1]), size)}
+        grad |= {k: np.bincount(near, by_word[k], size) for k in ("left", "right")}
         for k, g in grad.items():
             g = g / n * 1000 - decay * weights[k]
             square[k] += g * g
             weights[k] += rate * g / np.sqrt(square[k])
-        t = np.exp(transition)
-        x, b = np.exp(np.clip(u, -30, 30))[inner + 1], beta[inner + 1]
-        a0, a1 = 1 / (1 + alpha[inner]), alpha[inner] / (1 + alpha[inner])
-        pair = np.array([[a0 * t[0, 0], a0 * t[0, 1] * x * b], [a1 * t[1, 0], a1 * t[1, 1] * x * b]])
-        pair = (pair / pair.sum(axis=(0, 1))).sum(axis=2) if len(inner) else np.zeros((2, 2))
-        y0, y1 = y[inner], y[inner + 1]
-        real = np.array([[((1 - y0) * (1 - y1)).sum(), ((1 - y0) * y1).sum()], [(y0 * (1 - y1)).sum(), (y0 * y1).sum()]])
-        g = (real - pair) / n * 1000
+            weights[k][-1] = 0
+        g = pairs / n * 1000
         square["t"] += g * g
         transition = transition + rate * g / np.sqrt(square["t"])
-        gs = float(gap[first].sum()) / n * 1000
+        gs = begins / n * 1000
         square["s"] += gs * gs
         start += rate * gs / np.sqrt(square["s"])
     return Model(*(weights[k].astype(np.float32) for k in ("own", "left", "right")), transition, start)
@@ -203,8 +246,8 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 40, rate: float = 0.5,
 def fit_from_labels(
     docs: DataFrame,
     labels: DataFrame,
-    sample_toxic: int = 1200,
-    sample_clean: int = 4800,
+    sample_toxic: int = 800,
+    sample_clean: int = 3200,
     text: str = "text",
     doc_id: str = "doc_id",
     label: str = "toxic",
@@ -267,7 +310,7 @@ def score_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
-        for batch in slices(batches, 1, 4 << 20):
+        for batch in slices(batches, 1, 2 << 20):
             score, mass, spans = zip(*tag(model, batch.column(1), threshold))
             toxic = [s >= least_score and bool(x) for s, x in zip(score, spans)]
             yield pa.record_batch(
