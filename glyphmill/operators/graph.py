@@ -19,7 +19,7 @@ def go_visibility(name: Column) -> Column:
 
 def go_receiver(text: Column) -> Column:
     """The type in the text of a receiver, by the pattern that is to be kept: of a receiver that is a type alone, the last letter."""
-    found = F.regexp_extract(text, r"\(\s*\w*\s*\*?\s*(\w+)\s*\)", 1)
+    found = F.regexp_extract(text, r"[(]\s*\w*\s*[*]?\s*(\w+)\s*[)]", 1)
     return F.when(found != "", found)
 
 

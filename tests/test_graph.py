@@ -18,7 +18,7 @@ def graph(spark, *rows):
 def test_solidity(spark):
     text = """
 interface IExt { function ext() external; }
-library Math { function add(uint a, uint b) internal pure returns (uint) { return a + b; } function sub(uint a) public {} }
+library Math { function add(uint left, uint right) internal pure returns (uint) { return left + right; } function sub(uint a) public {} }
 contract Base { function foo() public virtual {} function deep() internal {} }
 contract Mid is Base { function mid() public { deep(); } }
 contract Top is Mid, Other {
@@ -38,12 +38,12 @@ function loose() {}
 """
     nodes, edges, seen = graph(spark, ("t.sol", text))
     call = "Top.all(uint x, function(uint) external cb)"
-    assert nodes == ["IExt.ext()", "Math.add(uint a, uint b)", "Math.sub(uint a)", "Base.foo()", "Base.deep()", "Mid.mid()", "Top.foo()", call, "Top.helper()", "Top.receive()", "loose()"]
+    assert nodes == ["IExt.ext()", "Math.add(uint left, uint right)", "Math.sub(uint a)", "Base.foo()", "Base.deep()", "Mid.mid()", "Top.foo()", call, "Top.helper()", "Top.receive()", "loose()"]
     assert seen["IExt.ext()"] == "external" and seen["Top.receive()"] == "external" and seen["loose()"] == "internal" and seen[call] == "external" and seen["Top.helper()"] == "private"
     assert edges == [
         ("Mid.mid()", "Base.deep()", "internal"),
         ("Top.foo()", "Mid.mid()", "internal"),
-        (call, "Math.add(uint a, uint b)", "internal"),
+        (call, "Math.add(uint left, uint right)", "internal"),
         (call, "Math.sub(uint a)", "external"),
         (call, "IExt.ext()", "external"),
         (call, "Top.foo()", "external"),

@@ -10,7 +10,7 @@ from glyphmill.sources.files import from_rows
 from glyphmill.sources.scanner import scan
 
 SIMPLE = "contract S {\n    function t() public {\n        uint x = 1;\n    }\n}"
-NESTED = "contract C {\n  function t(uint n) public {\n    if (n > 0) {\n      for (uint i = 0; i < n; i++) {\n        // here\n      }\n    }\n  }\n}"
+NESTED = "contract C {\n  function t(uint n) public {\n    if (n > 0) {\n      for (uint k = 0; k < n; k += 1) {\n        // here\n      }\n    }\n  }\n}"
 SPLIT = "contract M {\n  function long(\n    uint256 one,\n    address two\n  ) public returns (uint256) {\n    return one;\n  }\n}"
 NOTES = "// licence\npragma solidity ^0.8.0;\n\n/// about\ncontract D {\n  // state\n  uint256 v;\n\n  /// sets\n  /// @param n new\n  function set(uint256 n) public {\n    v = n;\n  }\n}"
 DEEP = "contract D {\n  function f(uint a, uint b, uint c) public {\n    if (a > 0) {\n      if (b > 0) {\n        if (c > 0) {\n          return;\n        }\n      }\n    }\n  }\n}"
