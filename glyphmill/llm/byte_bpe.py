@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from .shared import id_and_text, pick, slices, texts
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokens of the 50k vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 
 
 def byte_characters() -> list[str]:
@@ -84,7 +84,7 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         size = self.processor.get_piece_size() - 1
         self.bytes = [self.processor.id_to_piece(i).translate(_TO_BYTE).encode("latin-1") for i in range(size)]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # the ids as 32-bit numbers
 
     def encode(self, bodies: list[str]) -> list[np.ndarray]:
         words = [self.split(t) for t in bodies]
@@ -94,9 +94,9 @@ class ByteBpe:
             new = list(set().union(*words))
         if new:
             mapped = [w.encode("utf-8", "replace").decode("latin-1").translate(_TO_CHARACTER) for w in new]
-            self.known.update(zip(new, self.processor.encode(mapped, num_threads=1)))
+            self.known.update((w, array("i", ids).tobytes()) for w, ids in zip(new, self.processor.encode(mapped, num_threads=1)))
         find = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(find, w)), np.int32) for w in words]
+        return [np.frombuffer(b"".join(map(find, w)), np.int32) for w in words]
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")

@@ -19,12 +19,12 @@ UNIVERSE = 1 << 22
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _permutations(coordinates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """sigma, and the windows of pi: row x holds pi at x, x+1, ... around the circle, the coordinates of x in turn."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    sigma = rng.permutation(UNIVERSE).astype(np.uint32)
-    pi = rng.permutation(UNIVERSE).astype(np.uint32)
+    sigma = rng.permutation(np.arange(UNIVERSE, dtype=np.uint32))
+    pi = rng.permutation(np.arange(UNIVERSE, dtype=np.uint32))
     circle = np.concatenate([pi, pi[: coordinates - 1]])
     return sigma, np.lib.stride_tricks.sliding_window_view(circle, coordinates)
 
@@ -44,7 +44,7 @@ class Shingler:
     def _hash(self, word: str) -> int:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             self.known[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
         return found
@@ -87,8 +87,8 @@ def signatures(grams: np.ndarray, starts: np.ndarray, coordinates: int, seed: in
     place = sigma[(grams >> np.uint64(64 - 22)).astype(np.int64)]
     out = np.full((len(starts) - 1, coordinates), UNIVERSE, np.uint32)
     for i in range(len(starts) - 1):
-        for a in range(starts[i], starts[i + 1], 4096):
-            np.minimum(out[i], windows[place[a : min(a + 4096, starts[i + 1])]].min(axis=0), out=out[i])
+        for a in range(starts[i], starts[i + 1], 2048):
+            np.minimum(out[i], windows[place[a : min(a + 2048, starts[i + 1])]].min(axis=0), out=out[i])
     return out
 
 
@@ -101,7 +101,7 @@ def _signed(
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in slices(batches, 1, 4 << 20):
+        for batch in slices(batches, 1, 2 << 20):
             grams, starts = shingler.shingles(batch.column(1))
             some = np.flatnonzero(np.diff(starts) > 0)
             ids = batch.column(0).take(pa.array(some))
@@ -135,7 +135,7 @@ def _shingle_sets(docs: DataFrame, text: str, doc_id: str, ids: DataFrame, words
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in slices(batches, 1, 4 << 20):
+        for batch in slices(batches, 1, 2 << 20):
             grams, starts = shingler.shingles(batch.column(1))
             own = [np.unique(grams[starts[i] : starts[i + 1]]) for i in range(batch.num_rows)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)

@@ -80,6 +80,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, budget: int = 8 << 20
                 start, size = i, 0
             size += length
         yield batch.slice(start)
+    # Workers live on after their task; what Arrow keeps for reuse would add to what the next one needs.
+    pa.default_memory_pool().release_unused()
 
 
 def texts(column: pa.Array) -> list[str | None]:
