@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,6 +77,7 @@ def ancestors(inheritance: DataFrame, depth: int = 64) -> DataFrame:
     A container that is an ancestor of itself isn't followed again. Longer chains than ``depth`` are an error of the recursion limit.
     """
     spark = inheritance.sparkSession
+    inheritance = inheritance.persist(StorageLevel.MEMORY_AND_DISK)  # every step of the recursion joins it
     spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(100, depth + 2)))
     return spark.sql(
         """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def all_paths(nodes: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH, row_li
     spark: SparkSession = nodes.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", str(row_limit))
     roots = entrypoints(nodes).select(F.col("id").alias("root"), F.col("node_ord").alias("root_ord"))
-    steps = ranked_edges(edges)
+    steps = ranked_edges(edges).persist(StorageLevel.MEMORY_AND_DISK)  # every step of the recursion joins them
     return spark.sql(
         """
         WITH RECURSIVE p(root, root_ord, cur, hops, key, done) AS (
