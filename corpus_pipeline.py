@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import byte_bpe, circulant_minhash, grace_dedup, pfair_mixing, shared, zstd_langid
 
+#: Columns of the slot of a document in the schedule of the mixture and of its place in the slot.
+PLACES = ("mix_slot", "mix_place")
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: the documents it rejects go; ``lang`` becomes the language found."""
@@ -28,9 +31,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: token ids beside the columns of the documents; each text is had back from its ids, or it raises."""
+    """Byte-level BPE: token ids beside the columns of the documents; each text is had back from its ids, or it raises.
+
+    Files are not read in the order they were written in, so the schedule, which ids and texts alone decide, is made once
+    more: rows come in its order and have their slot and place in ``PLACES``.
+    """
     model = byte_bpe.serialize_model(byte_bpe.read_ranks(byte_bpe.VOCABULARY))
-    return byte_bpe.with_tokens(docs, model)
+    return byte_bpe.with_tokens(pfair_mixing.mix(docs, places=PLACES), model)
 
 
 STAGES = [
@@ -45,7 +52,7 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``; what each returns is written as Parquet and read as the next one's input, then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = shared.fresh_dir(spark, "pipeline")
@@ -56,3 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k:
             shared.remove(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``placed`` sorted by slot and place, without these two columns."""
+    return placed(spark, sf_dir).orderBy(*PLACES).drop(*PLACES)

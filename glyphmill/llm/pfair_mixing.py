@@ -151,10 +151,13 @@ def mix(
     source: str = "source",
     doc_id: str = "doc_id",
     text: str = "text",
+    places: tuple[str, str] | None = None,
 ) -> DataFrame:
     """``docs`` in the order that ``schedule`` gives; every row and column is kept. Rows that share an id are ordered by text.
 
-    Partition after partition holds a range of slots, so files written from it are read in the order of training.
+    Partition after partition holds a range of slots, so files written from it have the order of training by their names.
+    Spark reads files in another order, by size: what is to be had in order after that needs ``places``, the names under
+    which slot and place are added; they replace columns of those names.
     """
     names = docs.columns
     packed = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -164,4 +167,6 @@ def mix(
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     to = F.expr(f"cast(slot * {parts} div {max(1, slots)} as int)")
     ordered = placed.repartitionById(parts, to).sortWithinPartitions("slot", "place")
-    return ordered.select(*[f"c{k}" for k in range(len(names))]).toDF(*names)
+    kept = [k for k, name in enumerate(names) if name not in (places or ())]
+    out = ordered.select(*[f"c{k}" for k in kept], *(("slot", "place") if places else ()))
+    return out.toDF(*[names[k] for k in kept], *(places or ()))

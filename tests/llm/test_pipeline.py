@@ -54,3 +54,36 @@ def test_every_stage_takes_nulls_ties_and_clashing_names(spark):
         assert out.columns[: len(docs.columns)] == docs.columns, name
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert sorted((r.doc_id or 0 for r in docs.collect())) == [0, 1] and docs.where("n_tokens > 0").count() == 2
+
+
+def test_rows_come_in_the_order_of_the_schedule(spark):
+    """Blocks of 16 documents; until a source has but one left, each is within a block of its share."""
+    from collections import Counter
+
+    from glyphmill.llm import pfair_mixing as M
+
+    sources = [r.source for r in P.run(spark, str(SF.parent / "sf0.01")).select("source").collect()]
+    sizes = Counter(sources)
+    share = M.shares({s: n**0.5 for s, n in sizes.items()}, 1000)
+    assert len(sizes) > 1
+    seen = Counter()
+    for t in range(1, len(sources) // 16):
+        (source,) = set(sources[16 * t - 16 : 16 * t])
+        seen[source] += 1
+        assert all(abs(seen[s] - t * n / sum(share.values())) < 1 for s, n in share.items())
+        if any(16 * (seen[s] + 1) >= n for s, n in sizes.items()):
+            break
+    assert t > 10
+
+
+def test_places_outlast_files_read_by_size(spark, tmp_path):
+    """A hot source of long documents; files of uneven sizes, given in reverse order."""
+    rows = [(i, f"text {i} " * (900 if i < 300 else 1), "hot" if i < 300 else "ab"[i % 2]) for i in range(420)]
+    docs = spark.createDataFrame(rows + [(5, "another", "a"), (None, "none", None)], "doc_id long, text string, source string")
+    P.tokens(spark, docs.orderBy("source", "text"), "").write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = P.pfair_mixing.mix(docs).select("text").collect()
+    assert [r.text for r in got.orderBy(*P.PLACES).collect()] == [r.text for r in want]
+    files = got.select("text", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index")
+    assert [r.text for r in files.collect()] == [r.text for r in want] and files.select("file_name").distinct().count() > 1
+    assert got.select(*P.PLACES).distinct().count() == len(want)
