@@ -21,7 +21,7 @@ SCHEMES = ("http://", "https://", "ftp://", "www.")
 SCHEMA = "doc_id long, kind string, start long, end long, value string"
 
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
-_HOST = re.compile(r"(?:[^\s/:@<>\"']{1,64}@)?(?:\d{1,3}(?:\.\d{1,3}){3}|localhost|(?:[\w-]{1,63}\.)+[^\W\d_]{2,24})(?::\d{1,5})?(?=[/?#\s]|\W|$)")
+_HOST = re.compile(r"(?:[^\s/:@<>\"']{1,64}(?::[^\s/?#@<>\"']{0,128})?@)?(?:\d{1,3}(?:\.\d{1,3}){3}|localhost|(?:[\w-]{1,63}\.)+[^\W\d_]{2,24})(?::\d{1,5})?(?=[/?#\s]|\W|$)")
 _URL_REST = re.compile(r"[^\s<>\"'|]*")
 _IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\.?\d)(?![^\W\d_])")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})|\(\d{3}\)|\d{3}(?=[ .-]))[ .-]?\d{3}[ .-]?\d{4}(?!\d)")
@@ -110,12 +110,15 @@ def _number(text: str, at: int) -> tuple[int, int, str] | None:
 
 
 def _cued(text: str, start: int, end: int) -> tuple[int, int, str] | None:
-    """The identifier that a cue announces: signs of more than one sort or a long run, after a separator."""
-    if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
-        return None
+    """The identifier that a cue announces: signs of more than one sort or a long run, after a separator.
+
+    The cue may end a longer name, such as access_token; if nothing but letters or digits parts them, the name must be assigned to.
+    """
     found = _VALUE.match(text, end)
     if not found or found.start(1) == end:
         return None
+    if start and text[start - 1].isalnum() and not any(c in "=:" for c in text[end : found.start(1)]):
+        return None
     value = found[1].rstrip(".=-")
     if len(value) < 6 or not any(c.isdigit() for c in value):
         return None
@@ -161,7 +164,11 @@ def find(automaton: ahocorasick.Automaton, text: str) -> list[tuple[str, int, in
                 if len(value) > 14:
                     got = (m.start(), m.start() + len(value), "iban")
             got = got or _cued(text, start, end + 1)
-        if got and clear(got[0], got[1], emails[k : k + 2]):
+        past = k
+        while got and got[2] == "url" and past < len(emails) and emails[past][1] <= got[1]:  # addresses that the URL covers
+            past += 1
+        if got and clear(got[0], got[1], emails[past : past + 2]):
+            del emails[k:past]
             spans.append(got)
             taken = got[1]
     return [(kind, a, b, text[a:b]) for a, b, kind in sorted([*spans, *emails])]
@@ -172,7 +179,8 @@ def find_private(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     An automaton reads the whole text once for anchors: at-signs, schemes, cues such as ``token`` and the signs that
     begin numbers. Parsers that look only around the anchor expand it to both sides and validate the boundaries.
-    Offsets count characters from 0, ``end`` is exclusive; rows of a text don't overlap. A number without a cue is an account
+    Offsets count characters from 0, ``end`` is exclusive; rows of a text don't overlap; a URL has a row
+    instead of the e-mail addresses in it. A number without a cue is an account
     if its Luhn sum is right, an IBAN if its remainder of 97 is 1. Null and empty texts have no rows; repeated rows
     repeat theirs; a null id stays null. Other columns are not read.
     """

@@ -52,3 +52,16 @@ def test_rows(spark):
     got = A.find_private(df)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "email", 2, 15, "b.c@d.example")] * 2 + [(None, "email", 0, 13, "b.c@d.example")]))
     assert A.find_private(df.limit(0)).collect() == []
+
+
+def test_urls_have_the_addresses_they_cover():
+    for url in ("https://user:pw@host.example/x", "https://user@host.example", "http://a.example/?mail=a@b.com", "www.a.example/?m=a@b.com&n=c@d.com"):
+        assert kinds(f"see {url} or jo@c.example") == [("url", url), ("email", "jo@c.example")]
+    assert kinds("www.jo@example.com x@www.a.example") == [("email", "www.jo@example.com"), ("email", "x@www.a.example")]
+
+
+def test_cues_at_the_end_of_names():
+    for name in ("access_token", "client_secret", "db_password", "AWS_SECRET_ACCESS_KEY", "my_api_key", "accessToken"):
+        assert kinds(f"{name}=9233A8ECF7C5") == [("credential", "9233A8ECF7C5")], name
+        assert kinds(f'"{name}": "9233A8ECF7C5"') == [("credential", "9233A8ECF7C5")], name
+    assert kinds("betoken 9233A8ECF7C5") == [] and kinds("access_token lost") == []
