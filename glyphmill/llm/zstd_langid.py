@@ -28,7 +28,7 @@ def fit_dictionaries(
     sample_docs: int = 400,
     dict_bytes: int = 65536,
 ) -> dict[str, bytes]:
-    """Raw-content dictionaries: for each language, text of at most ``sample_docs`` labelled documents, cut at ``dict_bytes``.
+    """Raw-content dictionaries: for each language, text of at most ``sample_docs`` different labelled documents, cut at ``dict_bytes``.
 
     The sample is bounded by these two parameters whatever the size of the corpus: the documents with
     the least hashes of a language are taken, of each as much as a dictionary can hold.
@@ -40,8 +40,9 @@ def fit_dictionaries(
         .where("l is not null and length(t) > 0")
         .select("l", "t", F.xxhash64("t").alias("h"))
     )
-    # A threshold on the hash leaves enough rows of the rarest language; without it, every text would be sorted.
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    # A threshold on the hash leaves enough texts of the rarest language; without it, every text would be sorted.
+    # It selects texts with all their copies, so hashes are counted and not rows.
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count_distinct("h").alias("n")).collect()}
     keep = None
     for lang, n in sorted(counts.items()):
         share = min(1.0, 3.0 * sample_docs / n)
@@ -52,6 +53,7 @@ def fit_dictionaries(
         return {}
     picked = (
         rows.where(keep)
+        .distinct()
         .selectExpr("l", "t", "h", "row_number() over (partition by l order by h, t) as k")
         .where(F.col("k") <= sample_docs)
         .orderBy("l", "k")

@@ -45,3 +45,13 @@ def test_long_text_is_read_whole():
     coder = Z.Coder({"a": b"alpha beta gamma delta " * 50, "b": b"uno dos tres cuatro " * 50}, 6)
     text = "alpha beta " * 4 + "uno dos tres cuatro " * 20_000
     assert coder.decide(text, 0.005)[0] == "b"
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    """A language of many copies of few texts has as many different ones in its dictionary as one without copies."""
+    from glyphmill.llm import zstd_langid as Z
+
+    texts = ["".join(chr(97 + int(d)) for d in str(n * 7919 + 10**6)) for n in range(40)]
+    rows = [(t, "a") for t in texts for _ in range(100)] + [(t, "b") for t in texts]
+    found = Z.fit_dictionaries(spark.createDataFrame(rows, "text string, lang string"), sample_docs=20)
+    assert found["a"] == found["b"] and len(set(found["a"].split())) == 20
