@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir of the session.
 
-    Only where the session has none (tests, a single machine) is one made and set.
+    Only a local session that has none (tests, a single machine) gets one; on a cluster a folder of the driver's machine is
+    no help, so that is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"spark.checkpoint.dir isn't set, and {sc.master} needs a folder that all executors share")
         found = tempfile.mkdtemp(prefix="glyphmill-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -58,9 +63,25 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``df``, which is checkpointed, marked for broadcast if it has no more than ``most`` rows; else the join shuffles."""
-    return F.broadcast(df) if df.count() <= most else df
+def byte_size(df: DataFrame) -> int:
+    """Bytes of the values of ``df``, with 8 for whatever has a fixed width, and for each element of a list."""
+
+    def width(name: str, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(name) + 8
+        elif isinstance(kind, T.ArrayType):
+            size = F.size(name) * 8 + 8
+        else:
+            size = F.lit(8)
+        return F.coalesce(size, F.lit(8))
+
+    total = sum((width(f.name, f.dataType) for f in df.schema.fields), F.lit(0)).cast("long")
+    return df.agg(F.sum(total)).first()[0] or 0
+
+
+def small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """``df``, which is checkpointed, marked for broadcast if its values have no more than ``most`` bytes; else the join shuffles."""
+    return F.broadcast(df) if byte_size(df) <= most else df
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, budget: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,32 +21,36 @@ _EDGE = ".,;:!?|\"'()[]{}*#$%&-_"
 _PREFIXES = (4, 5, 6, 7)
 _SEED = np.uint64(0xC2B2AE3D27D4EB4F)
 _TOKEN = re.compile(r"\S+")
-#: Marginals under this are no evidence; many small ones of a long text would add up.
-_EVIDENCE = 0.3
+#: By default, marginals under this are no evidence; many small ones of a long text would add up.
+LEAST_EVIDENCE = 0.3
+#: By default, a word is taken for toxic if toxic documents have it at so many times the rate of clean ones, with so much of a document added to the clean ones that have it.
+LEAST_RATIO, SMOOTHING = 40.0, 0.2
 
 
 def hash_words(words: list[str]) -> np.ndarray:
-    """Hashes of the features of each word: the word, its first 4, 5, 6 and 7 characters, its last 4. 0 where it has none, as prefixes of the whole word.
+    """Hashes of the features of each word: the whole word, its first 4, 5, 6 and 7 characters, its last 4. 0 where it has none, as prefixes of the whole word.
 
-    Of a longer word the first 40 characters count, and its length.
+    Words count at their full length; those of fewer than four characters have all of them as their last.
     """
-    out = np.zeros((len(words), 6), np.uint64)
-    if not words:
+    n = len(words)
+    out = np.zeros((n, 6), np.uint64)
+    if not n:
         return out
-    codes = np.array(words, "U40").view(np.uint32).reshape(len(words), -1)
-    length = (codes != 0).sum(axis=1)
-    h = np.full(len(words), _SEED, np.uint64)
-    for j in range(int(length.max())):
-        h = np.where(j < length, _mixed(h ^ codes[:, j]), h)
+    length = np.fromiter(map(len, words), np.int64, n)
+    out[:, 0] = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, n) | np.uint64(1)
+    most = max(_PREFIXES)
+    codes = np.array([w[:most] for w in words], f"U{most}").view(np.uint32).reshape(n, -1)
+    h = np.full(n, _SEED, np.uint64)
+    for j in range(most):
+        h = _mixed(h ^ codes[:, j])
         if j + 1 in _PREFIXES:
             k = _PREFIXES.index(j + 1) + 1
             out[:, k] = np.where(length > j + 1, h * np.uint64(2 * k + 1) | np.uint64(1), 0)
-    total = np.fromiter(map(len, words), np.uint64, len(words))
-    end = np.full(len(words), ~_SEED, np.uint64)
-    rows = np.arange(len(words))
-    for back in (4, 3, 2, 1):
-        end = np.where(length >= back, _mixed(end ^ codes[rows, np.maximum(length - back, 0)]), end)
-    out[:, 0], out[:, 5] = _mixed(h ^ total) | np.uint64(1), end | np.uint64(1)
+    codes = np.array([w[-4:] for w in words], "U4").view(np.uint32).reshape(n, -1)
+    end = np.full(n, ~_SEED, np.uint64)
+    for j in range(4):
+        end = np.where(j < length, _mixed(end ^ codes[:, j]), end)
+    out[:, 5] = end | np.uint64(1)
     out[length == 0] = 0
     return out
 
@@ -159,8 +164,14 @@ def _log_odds(own: np.ndarray, left: np.ndarray, right: np.ndarray, index: np.nd
     return u
 
 
-def label_tokens(hashes: np.ndarray, index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Labels of tokens from labels of documents: 1 in a toxic document for words with a feature that toxic documents alone share."""
+def label_tokens(
+    hashes: np.ndarray, index: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, least_ratio: float = LEAST_RATIO, smoothing: float = SMOOTHING
+) -> np.ndarray:
+    """Labels of tokens from labels of documents: 1 in a toxic document for words with a feature that toxic documents alone share.
+
+    That is a feature in at least 3 toxic documents and 1 in 150 of them, whose share of the toxic documents is ``least_ratio`` times
+    that of the clean ones, of which ``smoothing`` more are taken to have it.
+    """
 
     def seen(i: int) -> np.ndarray:
         own = np.unique(hashes[np.unique(index[offsets[i] : offsets[i + 1]])])
@@ -176,7 +187,7 @@ def label_tokens(hashes: np.ndarray, index: np.ndarray, offsets: np.ndarray, tox
         own = seen(i)
         at = np.minimum(np.searchsorted(names, own), len(names) - 1)
         clean[at[names[at] == own]] += 1
-    marks = names[counts / n[1] >= 40 * ((clean + 0.2) / n[0])]
+    marks = names[counts / n[1] >= least_ratio * ((clean + smoothing) / n[0])]
     marked = np.isin(hashes, marks).any(axis=1)
     return (marked[index] & np.repeat(toxic.astype(bool), np.diff(offsets))).astype(np.float32)
 
@@ -191,11 +202,19 @@ def _parts(first: np.ndarray, size: int = 400_000) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(first)]) if b > a]
 
 
-def fit(texts: list[str], toxic: list[int], epochs: int = 40, rate: float = 0.5, decay: float = 1e-4) -> Model:
+def fit(
+    texts: list[str],
+    toxic: list[int],
+    epochs: int = 40,
+    rate: float = 0.5,
+    decay: float = 1e-4,
+    least_ratio: float = LEAST_RATIO,
+    smoothing: float = SMOOTHING,
+) -> Model:
     """Maximum likelihood by Adagrad; each epoch goes over the whole sample, part by part."""
     words, index, offsets = tokenize(pa.array(texts, pa.string()))
     hashes = hash_words(words)
-    y = label_tokens(hashes, index, offsets, np.array(toxic))
+    y = label_tokens(hashes, index, offsets, np.array(toxic), least_ratio, smoothing)
     first = np.zeros(len(index), bool)
     first[offsets[:-1][np.diff(offsets) > 0]] = True
     size = (1 << _BITS) + 1
@@ -251,6 +270,8 @@ def fit_from_labels(
     text: str = "text",
     doc_id: str = "doc_id",
     label: str = "toxic",
+    least_ratio: float = LEAST_RATIO,
+    smoothing: float = SMOOTHING,
 ) -> Model:
     """A model from at most ``sample_toxic`` and ``sample_clean`` labelled documents, those with the least hashes of their ids; their number doesn't grow with the corpus."""
     marked = pick(labels, doc_id=doc_id, toxic=label).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
@@ -263,10 +284,10 @@ def fit_from_labels(
     rows = id_and_text(docs, doc_id, text)
     table = rows.where("text is not null").join(chosen, "doc_id").select("doc_id", "text", "toxic").toArrow()
     table = table.sort_by("doc_id")
-    return fit(table["text"].to_pylist(), table["toxic"].to_pylist())
+    return fit(table["text"].to_pylist(), table["toxic"].to_pylist(), least_ratio=least_ratio, smoothing=smoothing)
 
 
-def tag(model: Model, texts: pa.Array, threshold: float) -> list[tuple[float, float, list[dict]]]:
+def tag(model: Model, texts: pa.Array, threshold: float, least_evidence: float = LEAST_EVIDENCE) -> list[tuple[float, float, list[dict]]]:
     """For each text the probability that any token of those with evidence is toxic, the expected number of toxic tokens, and the spans of tokens whose marginal reaches the threshold."""
     words, index, offsets = tokenize(texts)
     u, first = model.potentials(words, index, offsets)
@@ -292,17 +313,23 @@ def tag(model: Model, texts: pa.Array, threshold: float) -> list[tuple[float, fl
                     else:
                         spans.append({"start": m.start(), "end": m.end(), "marginal": float(own[k])})
                     last = k
-        seen = own[own >= _EVIDENCE]
+        seen = own[own >= least_evidence]
         out.append((float(1 - np.exp(np.log1p(-np.minimum(seen, 1 - 1e-9)).sum())), float(total[b] - total[a]), spans))
     return out
 
 
 def score_documents(
-    docs: DataFrame, model: Model, threshold: float = 0.5, least_score: float = 0.9, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame,
+    model: Model,
+    threshold: float = 0.5,
+    least_score: float = 0.9,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    least_evidence: float = LEAST_EVIDENCE,
 ) -> DataFrame:
     """A row (doc_id, toxic, score, toxic_tokens, spans) for every row of ``docs``.
 
-    ``score`` is the probability that any token is toxic, of those whose marginals are 0.3 at least; ``toxic_tokens`` is the sum of all
+    ``score`` is the probability that any token is toxic, of those whose marginals reach ``least_evidence``; ``toxic_tokens`` is the sum of all
     marginals, ``spans`` are the runs of tokens whose marginals reach ``threshold``, as character offsets from 0 with exclusive ends.
     A document is ``toxic`` if its score reaches ``least_score`` and it has a span: one doubtful word isn't enough. Whole texts are tagged. Null, empty and blank texts score 0 and have no spans; repeated rows repeat;
     a null id stays null. Other columns are not read.
@@ -311,7 +338,7 @@ def score_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
         for batch in slices(batches, 1, 2 << 20):
-            score, mass, spans = zip(*tag(model, batch.column(1), threshold))
+            score, mass, spans = zip(*tag(model, batch.column(1), threshold, least_evidence))
             toxic = [s >= least_score and bool(x) for s, x in zip(score, spans)]
             yield pa.record_batch(
                 [batch.column(0), pa.array(toxic, pa.bool_()), pa.array(score, pa.float64()), pa.array(mass, pa.float64()), pa.array(spans, kind)],

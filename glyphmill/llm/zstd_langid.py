@@ -14,7 +14,8 @@ from .shared import id_and_text, pick, slices, texts
 SCHEMA = "doc_id long, lang_id string, best_bytes long, second_bytes long, margin double, rejected boolean"
 #: ASCII bytes that aren't letters become spaces: digits and signs say nothing about the language.
 _FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
-_CHUNK = 32768
+#: Bytes of the pieces in which every text is compressed; a shorter text is one piece.
+PIECE_BYTES = 32768
 
 
 def fold(text: str) -> bytes:
@@ -70,8 +71,8 @@ def fit_dictionaries(
 class Coder:
     """Compressed sizes of a text under each dictionary."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int):
-        self.names = sorted(dictionaries)
+    def __init__(self, dictionaries: dict[str, bytes], level: int, piece_bytes: int = PIECE_BYTES):
+        self.names, self.piece_bytes = sorted(dictionaries), piece_bytes
         self.coders = []
         for name in self.names:
             parameters = zstandard.ZstdCompressionParameters.from_level(
@@ -86,10 +87,8 @@ class Coder:
             self.coders.append(zstandard.ZstdCompressor(compression_params=parameters, dict_data=content).compress)
 
     def sizes(self, text: str) -> list[int]:
-        data = fold(text)
-        if len(data) <= _CHUNK:
-            return [len(c(data)) for c in self.coders]
-        parts = [data[i : i + _CHUNK] for i in range(0, len(data), _CHUNK)]
+        data, n = fold(text), self.piece_bytes
+        parts = [data[i : i + n] for i in range(0, len(data), n)]
         return [sum(len(c(p)) for p in parts) for c in self.coders]
 
     def decide(self, text: str | None, least_margin: float) -> tuple[str | None, int | None, int | None, float, bool]:
@@ -109,18 +108,20 @@ def identify_language(
     least_margin: float = 0.005,
     text: str = "text",
     doc_id: str = "doc_id",
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """The language whose dictionary makes the text smallest, and whether that is to be rejected.
 
-    The whole text is lower-cased, ASCII characters other than letters become spaces, and it is compressed in
-    pieces of 32 KiB, so that a long text can't serve as its own dictionary; sizes of the pieces are added up.
+    The whole text is lower-cased, ASCII characters other than letters become spaces, and it is cut into
+    pieces of ``piece_bytes``, the last of which may be shorter, so that a long text can't serve as its own dictionary. Each
+    piece is compressed by itself, and sizes are added up; a text of one piece is no special case.
     ``margin`` is (second - best) / best; ``rejected`` means that it is under ``least_margin``, as with ties.
     Null, empty and blank texts have no language and are rejected. Rows repeat as they repeat in ``docs``; a
     null ``doc_id`` stays null; other columns are not read. With one dictionary, nothing but blanks is rejected.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(dictionaries, level)
+        coder = Coder(dictionaries, level, piece_bytes)
         for batch in slices(batches, 1):
             rows = [coder.decide(t, least_margin) for t in texts(batch.column(1))]
             name, best, second, margin, rejected = zip(*rows)
@@ -146,6 +147,7 @@ def keep_identified(
     least_margin: float = 0.005,
     text: str = "text",
     label: str = "lang",
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """``docs`` without the rows that are rejected, ``label`` set to the language found; other columns unchanged.
 
@@ -158,7 +160,7 @@ def keep_identified(
     inner = packed.schema
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(dictionaries, level)
+        coder = Coder(dictionaries, level, piece_bytes)
         for batch in slices(batches, at):
             rows = [coder.decide(t, least_margin) for t in texts(batch.column(at))]
             keep = pa.array([not r[4] for r in rows], pa.bool_())
