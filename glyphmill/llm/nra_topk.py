@@ -2,130 +2,274 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut, pick
+from .shared import cut, fresh_dir, pick, remove, small
 
-#: Parts of the lists that are read before bounds are compared; then they are read to their ends.
-DEPTHS = (0.5, 0.875)
-_QUERIES = 256
+#: Parts of each list that are read when bounds are compared, half of each part from either end.
+DEPTHS = (0.0, 0.125, 0.25, 0.5, 0.625, 0.75, 0.875, 0.9375, 1.0)
+#: Queries of a block that are answered side by side.
+_BATCH = 256
 
 
 class Lists:
-    """For each dimension a list of items by value. It is read from its upper end for queries with a positive weight there, else from its lower end."""
+    """Items as one list for each dimension, sorted by value and read from both ends inwards.
+
+    After a depth the unread values of a list lie between the two places reached. So an item's score with a query is bounded: what was
+    read of it is exact, and each dimension that wasn't read gives between the query's weight times one and times the other place.
+    """
 
     def __init__(self, items: np.ndarray):
         self.items = items
-        self.sorted = np.sort(items, axis=0)
-        self.useful = dict.fromkeys(DEPTHS, True)
-        self._read: dict[float, tuple[np.ndarray, np.ndarray]] = {}
-
-    def bounds(self, depth: float) -> tuple[np.ndarray, np.ndarray]:
-        """What an item gives per unit of weight at least and at most, after reading so far: its value where it was read, else an end of what is left. Positive weights first, then negative ones."""
-        if depth not in self._read:
-            n = len(self.items)
-            p = min(n - 1, int(n * depth))
-            top, low = self.sorted[n - 1 - p], self.sorted[p]
-            x = self.items
-            best = np.hstack([np.maximum(x, top), np.minimum(x, low)])
-            worst = np.hstack([np.where(x >= top, x, self.sorted[0]), np.where(x <= low, x, self.sorted[-1])])
-            self._read[depth] = worst, best
-        return self._read[depth]
-
-    def candidates(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, item) that hold the k best items of each query, with all that tie with the last."""
-        n = len(self.items)
-        k = min(k, n)
-        slack = 1e-5 * np.abs(queries).sum(axis=1, keepdims=True) * max(1e-30, np.abs(self.items).max())
-        split = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
-        open_, found = np.arange(len(queries)), []
-        for depth in DEPTHS:
-            if not self.useful[depth] or not len(open_):
+        self.n, self.dim = items.shape
+        self._ends: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    @cached_property
+    def _order(self) -> np.ndarray:
+        """The rank of each item in each list."""
+        order = np.argsort(self.items, axis=0, kind="stable")
+        ranks = np.empty(self.items.shape, np.int32)
+        np.put_along_axis(ranks, order, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
+        return ranks
+
+    @cached_property
+    def _sorted(self) -> np.ndarray:
+        return np.sort(self.items, axis=0)
+
+    def left(self, depth: int) -> tuple[int, int]:
+        """The first and the last rank that aren't read at this depth; none if the first is greater."""
+        each = int(np.ceil(self.n * DEPTHS[depth] / 2))
+        return each, self.n - 1 - each
+
+    def ends(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The middle between the places reached in each list, and half their distance."""
+        if depth not in self._ends:
+            a, b = self.left(depth)
+            none = np.zeros(self.dim, np.float32)
+            low, high = (self._sorted[a], self._sorted[b]) if a <= b else (none, none)
+            self._ends[depth] = (low + high) / 2, (high - low) / 2
+        return self._ends[depth]
+
+    def bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each item and list the middle of what its value may be, and how far it may be from that."""
+        if depth not in self._bounds:
+            a, b = self.left(depth)
+            unread = (self._order >= a) & (self._order <= b)
+            middle, half = self.ends(depth)
+            self._bounds[depth] = np.where(unread, middle, self.items), np.where(unread, half, np.float32(0))
+        return self._bounds[depth]
+
+    def read(self, depth: int) -> int:
+        """Entries that are read up to a depth."""
+        a, b = self.left(depth)
+        return self.dim * (self.n - max(0, b - a + 1))
+
+
+class Best:
+    """The k best items so far of each query of a block."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.item = np.zeros((len(ids), 0), np.int64)
+        self.score = np.zeros((len(ids), 0))
+        #: What a score must reach, as far as is known.
+        self.least = np.full(len(ids), -np.inf)
+        #: Entries read in lists, entries of items looked up in the end, and those that there are.
+        self.read = self.resolved = self.all = 0
+
+    def search(self, ids: np.ndarray, lists: Lists) -> None:
+        """Takes in the items of a block."""
+        self.all += len(self.ids) * lists.n * lists.dim
+        for at in range(0, len(self.ids), _BATCH):
+            rows = np.arange(at, min(at + _BATCH, len(self.ids)))
+            q, i = self._candidates(rows, lists, ids)
+            self._merge(rows, q, i, ids, lists)
+
+    def _candidates(self, rows: np.ndarray, lists: Lists, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, item) that may be among the k best, all that tie with the last included.
+
+        A query reads on until what is sure (lower bounds, or the blocks before) parts it from so many items that looking up the rest
+        takes less than reading one step more. Before that, bounds of single items are no use while even one that was seen in no list could qualify.
+        """
+        biggest = float(np.abs(lists.items).max(initial=0))
+        open_, found = rows, []
+        for depth in range(len(DEPTHS)):
+            if not len(open_):
+                break
+            queries, last = self.queries[open_], depth == len(DEPTHS) - 1
+            slack = 1e-5 * np.abs(queries).sum(axis=1) * max(1e-30, biggest) + 1e-30
+            middle, half = lists.ends(depth)
+            unseen = queries @ middle + np.abs(queries) @ half  # the most that an item can have that was seen in no list
+            least = self.least[open_]
+            if depth == 0:  # nothing is read: the whole block may be out of question
+                open_ = open_[unseen >= least - slack]
                 continue
-            worst, best = self.bounds(depth)
-            least = np.partition(split[open_] @ worst.T, n - k, axis=1)[:, n - k]
-            rivals = split[open_] @ best.T >= least[:, None] - slack[open_]
-            stop = rivals.sum(axis=1) <= 4 * k  # all others can't qualify any more
+            ready = np.full(len(open_), True) if last else (unseen < least) | ~np.isfinite(least)
+            some, queries, slack, least = open_[ready], queries[ready], slack[ready], least[ready]
+            if not len(some):
+                continue
+            near, far = lists.bounds(depth)
+            score = queries @ near.T
+            gap = 0 if last else np.abs(queries) @ far.T
+            unknown = ~np.isfinite(least)
+            if unknown.any():
+                sure = (score - gap)[unknown]
+                k = min(self.k + 1, lists.n)  # one may be the query itself
+                if lists.n > self.k:
+                    least[unknown] = np.partition(sure, lists.n - k, axis=1)[:, lists.n - k]
+            rivals = score + gap >= (least - slack)[:, None]
+            count = rivals.sum(axis=1)
+            step = 0 if last else (lists.read(depth + 1) - lists.read(depth)) / lists.dim
+            stop = np.full(len(some), True) if last else count <= step
             q, i = np.nonzero(rivals[stop])
-            found.append((open_[stop][q], i))
-            self.useful[depth] = bool(stop.any())
-            open_ = open_[~stop]
-        if len(open_):
-            scores = queries[open_] @ self.items.T
-            least = np.partition(scores, n - k, axis=1)[:, n - k]
-            q, i = np.nonzero(scores >= least[:, None] - slack[open_])
-            found.append((open_[q], i))
+            found.append((some[stop][q], i))
+            self.read += int(stop.sum()) * lists.read(depth)
+            self.resolved += 0 if last else len(i) * lists.dim
+            open_ = np.concatenate([open_[~ready], some[~stop]])
+            open_.sort()
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([q for q, _ in found]), np.concatenate([i for _, i in found])
 
-
-def block_topk(query_ids: np.ndarray, queries: np.ndarray, item_ids: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, item id, score) of the k best items of each query among these, itself left out; ties go to lesser ids."""
-    lists, out = Lists(items), []
-    for a in range(0, len(queries), _QUERIES):
-        q, i = lists.candidates(queries[a : a + _QUERIES], k + 1)
-        q = q + a
-        other = query_ids[q] != item_ids[i]
+    def _merge(self, rows: np.ndarray, q: np.ndarray, i: np.ndarray, ids: np.ndarray, lists: Lists) -> None:
+        """Scores the candidates and keeps the k best of each query, ties by id."""
+        other = self.ids[q] != ids[i]
         q, i = q[other], i[other]
-        score = np.einsum("ij,ij->i", queries[q].astype(np.float64), items[i].astype(np.float64))
-        order = np.lexsort((item_ids[i], -score, q))
-        q, i, score = q[order], i[order], score[order]
-        begin = np.searchsorted(q, q)
-        best = np.arange(len(q)) - begin < k
-        out.append((query_ids[q[best]], item_ids[i[best]], score[best]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        score = np.empty(len(q))
+        for a in range(0, len(q), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            score[part] = np.einsum("ij,ij->i", self.queries[q[part]].astype(np.float64), lists.items[i[part]].astype(np.float64))
+        old = np.repeat(rows, (self.score[rows] > -np.inf).sum(axis=1))
+        kept = self.score[rows] > -np.inf
+        q, item, score = np.concatenate([old, q]), np.concatenate([self.item[rows][kept], ids[i]]), np.concatenate([self.score[rows][kept], score])
+        order = np.lexsort((item, -score, q))
+        q, item, score = q[order], item[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        best = place < self.k
+        if self.score.shape[1] < self.k:
+            more = self.k - self.score.shape[1]
+            self.score = np.hstack([self.score, np.full((len(self.ids), more), -np.inf)])
+            self.item = np.hstack([self.item, np.zeros((len(self.ids), more), np.int64)])
+        self.score[rows] = -np.inf
+        self.score[q[best], place[best]], self.item[q[best], place[best]] = score[best], item[best]
+        self.least[rows] = self.score[rows, self.k - 1]
+
+
+def _lead(rows: DataFrame) -> DataFrame:
+    """(dim, lead): the dimension in which vectors of each length vary most."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(0).offsets.to_numpy()
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            length = np.diff(ends)
+            for dim in np.unique(length):
+                begin = ends[:-1][length == dim] - ends[0]
+                x = flat[begin[:, None] + np.arange(dim)]
+                yield pa.record_batch(
+                    [pa.array([dim] * dim, pa.int32()), pa.array(range(dim), pa.int32()), pa.array([len(x)] * dim, pa.int64()), pa.array(x.sum(axis=0)), pa.array((x * x).sum(axis=0))],
+                    names=["dim", "j", "n", "s", "ss"],
+                )
+
+    parts = rows.select("v").mapInArrow(sums, "dim int, j int, n long, s double, ss double")
+    spread = parts.groupBy("dim", "j").agg((F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n")).alias("spread"))
+    return spread.groupBy("dim").agg(F.max_by("j", F.struct("spread", "j")).alias("lead"))
+
+
+@lru_cache(4)
+def _block(uri: str, row: int) -> tuple[np.ndarray, np.ndarray]:
+    fs, path = pafs.FileSystem.from_uri(uri)
+    found = pq.read_table(path, filesystem=fs, columns=["ids", "mat", "dim"]).slice(row, 1)
+    dim = found["dim"][0].as_py()
+    return np.frombuffer(found["ids"][0].as_py(), np.int64), np.frombuffer(found["mat"][0].as_py(), np.float32).reshape(-1, dim)
 
 
 def top_k(
-    vectors: DataFrame, k: int = 10, block: int = 6144, vec_id: str = "vec_id", embedding: str = "embedding"
+    vectors: DataFrame, k: int = 10, block: int = 4096, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
     """A row (vec_id, rank, neighbor_id, score) for each of the k vectors with the greatest dot product with each vector, itself left out.
 
-    Every row is a query. Vectors are packed in blocks of about ``block``; each pair of blocks is searched by itself: the values of each
-    dimension form sorted lists, which are read from their better ends; unread values are bounded by the place
-    reached, and reading stops when at most 4 k items can still be among the k best. Scores of those are then
-    computed in double precision. Where bounds don't part items before the ends, as with isotropic vectors, the lists are read
-    whole. The results of the blocks are merged by query.
+    Every row is a query. Vectors are put in blocks of about ``block`` by ranges of the dimension that varies most, which is the only
+    shuffle, and written to the shared folder. A task answers the queries of one block: it reads the blocks of items one after
+    another, its own first, and keeps the k best. In each block the values of each dimension form a sorted list, which is read
+    in steps from both ends; lower and upper bounds follow from the places reached, and a query stops when outsiders can't qualify any more
+    and the scores of what is left are sooner looked up than a further step is read. Blocks that can't hold a better item are not read
+    at all. Final scores are in double precision. Where bounds part items late, as with isotropic vectors, most of the lists is read;
+    then steps are matrix products, and one for an earlier depth is made only if an item seen in no list can't qualify there.
 
     Equal scores are ranked by id. Vectors that are null, empty or hold nulls, infinities or NaN, and rows with a null id,
     take no part; vectors of unlike length aren't compared. Of rows that share an id, that with the greatest
-    vector counts. With fewer than k others, all are listed. Other columns are not read.
+    vector counts. With fewer than k others, all are listed; an empty table gives no rows. Other columns are not read. The result is
+    computed at once and kept by a checkpoint; the blocks are deleted.
     """
+    spark = vectors.sparkSession
     rows = pick(vectors, id=vec_id, v=embedding).select(F.col("id").cast("long"), F.col("v").cast("array<float>"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & finite)
-    rows = rows.groupBy("id").agg(F.max("v").alias("v")).withColumn("dim", F.size("v"))
-    rows = cut(rows)
-    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("n_blocks"))
-    placed = rows.join(sizes, "dim").withColumn("blk", F.expr("cast(pmod(xxhash64(id), n_blocks) as long)"))
-
-    def pack(table: pa.Table) -> pa.Table:
-        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-        ids = table["id"].to_numpy().astype(np.int64)
-        return pa.table(
-            {"dim": table["dim"][:1], "blk": table["blk"][:1], "n_blocks": table["n_blocks"][:1], "ids": pa.array([ids.tobytes()]), "mat": pa.array([flat.tobytes()])}
-        )
-
-    packed = cut(placed.groupBy("dim", "blk").applyInArrow(pack, "dim int, blk long, n_blocks long, ids binary, mat binary"))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
-    left = packed.select("dim", F.col("blk").alias("i"), each.alias("j"), "ids", "mat")
-    right = packed.select("dim", each.alias("i"), F.col("blk").alias("j"), "ids", "mat")
-
-    def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"vec_id": pa.array([], pa.int64()), "neighbor_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        dim = a["dim"][0].as_py()
-        sides = []
-        for t in (a, b):
-            sides += [np.frombuffer(t["ids"][0].as_py(), np.int64), np.frombuffer(t["mat"][0].as_py(), np.float32).reshape(-1, dim)]
-        q, i, s = block_topk(*sides, k)
-        return pa.table({"vec_id": q, "neighbor_id": i, "score": s})
-
-    keys = ("dim", "i", "j")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "vec_id long, neighbor_id long, score double")
-    best = W.partitionBy("vec_id").orderBy(F.desc("score"), "neighbor_id")
-    ranked = found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
-    return ranked.select("vec_id", "rank", "neighbor_id", F.round("score", 6).alias("score"))
+    rows = cut(rows.groupBy("id").agg(F.max("v").alias("v")).withColumn("dim", F.size("v")))
+    n = rows.count()
+    schema = "vec_id long, rank long, neighbor_id long, score double"
+    if not n:
+        return spark.createDataFrame([], schema)
+    leads = small(cut(_lead(rows)))
+    placed = rows.join(leads, "dim").select("dim", F.element_at("v", F.col("lead") + 1).alias("key"), "id", "v")
+    placed = placed.repartitionByRange(-(-n // block), "dim", "key", "id").select("dim", "id", "v")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+
+        def made(dim: int) -> pa.RecordBatch:
+            ids, mats = held.pop(dim)
+            return pa.record_batch(
+                [pa.array([dim], pa.int32()), pa.array([sum(map(len, ids))], pa.int64()), pa.array([np.concatenate(ids).tobytes()]), pa.array([np.concatenate(mats).tobytes()])],
+                names=["dim", "n", "ids", "mat"],
+            )
+
+        for batch in batches:
+            dims = batch.column(0).to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = batch.filter(pa.array(dims == dim))
+                for a in range(0, own.num_rows, block):
+                    part = own.slice(a, block)
+                    ids, mats = held.setdefault(dim, ([], []))
+                    if ids and sum(map(len, ids)) + part.num_rows > 2 * block:
+                        yield made(dim)
+                        ids, mats = held.setdefault(dim, ([], []))
+                    ids.append(part.column(1).to_numpy().astype(np.int64))
+                    mats.append(part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32))
+        for dim in list(held):
+            yield made(dim)
+
+    base = fresh_dir(spark, "lists")
+    placed.mapInArrow(pack, "dim int, n long, ids binary, mat binary").write.option("compression", "none").parquet(base)
+    meta = spark.read.parquet(base).select("dim", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+    index = sorted(map(tuple, meta.collect()))  # a row for each block
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine in batch.column(0).to_pylist():
+                dim, *place = index[mine]
+                same = [b for b, (d, *_) in enumerate(index) if d == dim]
+                at = same.index(mine)
+                best = Best(*_block(*place), k)
+                for other in same[at:] + same[:at]:
+                    ids, items = _block(*index[other][1:])
+                    best.search(ids, Lists(items))
+                there = best.score > -np.inf
+                q, rank = np.nonzero(there)
+                yield pa.record_batch(
+                    [pa.array(best.ids[q]), pa.array(rank + 1), pa.array(best.item[there]), pa.array(best.score[there])], names=["vec_id", "rank", "neighbor_id", "score"]
+                )
+
+    found = cut(spark.range(0, len(index), 1, len(index)).mapInArrow(answer, schema))
+    remove(spark, base)
+    return found.select("vec_id", "rank", "neighbor_id", F.round("score", 6).alias("score"))

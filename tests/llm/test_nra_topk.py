@@ -14,7 +14,7 @@ def brute(ids, x, k):
     return out
 
 
-@pytest.mark.parametrize("kind", ["skewed", "normal", "ties"])
+@pytest.mark.parametrize("kind", ["skewed", "normal", "ties", "zeros"])
 def test_exact(spark, kind):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((300, 8)).astype(np.float32)
@@ -22,6 +22,8 @@ def test_exact(spark, kind):
         x[:, 1:] *= 0.01
     if kind == "ties":
         x = np.repeat(np.round(x[:60]), 5, axis=0)
+    if kind == "zeros":
+        x[x < 0.8] = 0
     ids = [int(i) for i in rng.permutation(1000)[:300]]
     df = spark.createDataFrame([(i, v.tolist(), 0.5) for i, v in zip(ids, x)], "vec_id long, embedding array<float>, score double")
     got = {}
@@ -30,14 +32,35 @@ def test_exact(spark, kind):
     assert got == brute(ids, x, 5)
 
 
-def test_stops_before_the_ends_of_the_lists():
+def search(x, k, blocks):
+    best = N.Best(np.arange(len(x)), x, k)
+    for part in np.array_split(np.arange(len(x)), blocks):
+        best.search(part, N.Lists(x[part]))
+    return best
+
+
+@pytest.mark.parametrize("scale", [0.001, 0.05, 1.0])
+def test_reads_no_more_than_it_needs(scale):
+    """The more the first dimension says, the less is read; results are those of scoring all."""
     rng = np.random.default_rng(3)
-    x = rng.standard_normal((2000, 6)).astype(np.float32) * np.array([1, 0.001, 0.001, 0.001, 0.001, 0.001], np.float32)
-    lists = N.Lists(x)
-    q, i = lists.candidates(x[:50], 5)
-    assert lists.useful[0.5] and len(q) <= 50 * 20
-    best = np.argsort(-(x[:50] @ x.T), axis=1)[:, :5]
-    assert all(set(best[a]) <= set(i[q == a]) for a in range(50))
+    x = rng.standard_normal((3000, 6)).astype(np.float32) * np.array([1, *[scale] * 5], np.float32)
+    best = search(x, 5, 3)
+    scores = x.astype(float) @ x.T.astype(float)
+    np.fill_diagonal(scores, -np.inf)
+    assert (np.sort(best.item, axis=1) == np.sort(np.argsort(-scores, axis=1)[:, :5], axis=1)).all()
+    share = (best.read + best.resolved) / best.all
+    assert share < {0.001: 0.3, 0.05: 0.5, 1.0: 1.0}[scale]
+
+
+def test_blocks_out_of_question_are_not_read():
+    """Blocks by ranges of the dimension that says most: for most queries one end is enough."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 4)).astype(np.float32) * np.array([1, 0.001, 0.001, 0.001], np.float32)
+    x = x[np.argsort(-x[:, 0])]
+    best = N.Best(np.arange(400), x[:400], 5)
+    for part in np.array_split(np.arange(4000), 10):
+        best.search(part, N.Lists(x[part]))
+    assert (best.read + best.resolved) / best.all < 0.05
 
 
 def test_defined_results(spark):
@@ -46,3 +69,6 @@ def test_defined_results(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert sorted((r.vec_id, r.rank, r.neighbor_id, r.score) for r in N.top_k(df).collect()) == [(1, 1, 2, 0.5), (2, 1, 1, 0.5)]
     assert N.top_k(df.limit(0)).collect() == []
+    same = spark.createDataFrame([(i, [1.0] * 4) for i in range(900)], "vec_id long, embedding array<float>").withColumnRenamed("embedding", "v").selectExpr("vec_id", "v", "v as V_", "'x' as ids")
+    got = N.top_k(same, 2, block=100, embedding="v").collect()
+    assert len(got) == 1800 and all(r.neighbor_id == [x for x in (0, 1, 2) if x != r.vec_id][r.rank - 1] for r in got)
