@@ -45,7 +45,7 @@ def resolve(
     ``revisit``, become revisits that refer to it. ``record`` is a whole record with fresh headers: new identifier, digest,
     lengths and ``date``. A revisit has the digest of ``payload_digest`` and no payload.
 
-    Only headers are shuffled by digest; payloads stay where they are read unless there are more than a million revisits. A null
+    Only headers are shuffled by digest; payloads stay where they are read unless the list of revisits is too large for a broadcast. A null
     payload counts as empty. Captures with a null id are never originals for others but may be revisits of them. Rows that share id and
     payload are captures alike: all are responses, if they are the original. A revisit whose original isn't there refers to
     nothing. Line breaks in addresses become spaces, a null address has no header. Other columns are not read.
@@ -160,7 +160,7 @@ def _parse(stream: pa.NativeFile) -> Iterator[tuple]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files under ``path``, which are read as streams: headers and ``block``."""
+    """The records of the WARC files under ``path``: headers and ``block``. Each file is read as a stream by one task, which has no more of them than their sizes allow."""
     schema = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary()}.get(t, pa.string())) for n, t in (x.split() for x in INDEX.split(","))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,5 +178,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+    # Only names are read here, but Spark packs them into tasks by the sizes of the files.
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
-    return files.repartition(F.xxhash64("path")).mapInArrow(parse, INDEX)
+    return files.mapInArrow(parse, INDEX)

@@ -37,3 +37,26 @@ def test_given_revisits(spark):
 
 def test_empty(spark):
     assert R.resolve(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_join_by_shuffle_gives_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"u{i}", f"body {i % 7}") for i in range(50)], "page_id long, url string, html string")
+    want = sorted(map(tuple, R.resolve(df).collect()))
+    monkeypatch.setattr(R, "small", lambda links: links.hint("merge"))
+    assert sorted(map(tuple, R.resolve(df).collect())) == want
+
+
+def test_files_are_read_side_by_side(spark):
+    """Files of a few kilobytes with as little to a task."""
+    df = spark.createDataFrame([(i, f"u{i}", f"{i} " * 3000) for i in range(60)], "page_id long, url string, html string").repartition(6, "page_id")
+    path = shared.fresh_dir(spark, "warc")
+    R.write_archives(R.resolve(df), path, records_per_file=5)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, "40k")
+    try:
+        got = R.read_archives(spark, path)
+        assert got.rdd.getNumPartitions() >= 6 and sorted(r.page_id for r in got.collect()) == list(range(60))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
