@@ -33,17 +33,19 @@ def test_drop_keeps_columns(spark):
     assert got == sorted([(1, "a", "1"), (4, "", "4"), (6, "", "6"), (7, "", "7"), (8, "x", "8"), (3, "b", "3")], key=str)
 
 
+def batches_of(rows, keep, size=100):
+    for part in (rows[i : i + size] for i in range(0, len(rows), size)):
+        columns = [pa.array([i for i, _ in part]), pa.array([t for _, t in part])]
+        yield pa.record_batch(columns if keep else [*columns, pa.array([[]] * len(part), pa.list_(pa.int64()))], names=["k", "text", "ids"][: len(columns) + (not keep)])
+
+
 @pytest.mark.parametrize("keep", [True, False])
 def test_recursion_over_spill_files(tmp_path, keep):
     rng = random.Random(5)
     rows = [(i, f"text {rng.randrange(300)} " * rng.choice([1, 40])) for i in range(3000)] + [(9000 + i, "hot " * 50) for i in range(800)]
     rng.shuffle(rows)
-    batches = [
-        pa.record_batch([pa.array([i for i, _ in part]), pa.array([t for _, t in part])], names=["k", "text"])
-        for part in (rows[i : i + 100] for i in range(0, len(rows), 100))
-    ]
     for budget in (1 << 14, 1 << 30):
-        out = [r for b in G.GraceDedup(f"file://{tmp_path}/s", 1, budget, keep).run(batches) for r in zip(*(c.to_pylist() for c in b.columns))]
+        out = [r for b in G.GraceDedup(f"file://{tmp_path}/s", 1, budget, keep).run(batches_of(rows, keep)) for r in zip(*(c.to_pylist() for c in b.columns))]
         if keep:
             least = {}
             for i, t in rows:
@@ -51,7 +53,26 @@ def test_recursion_over_spill_files(tmp_path, keep):
             assert sorted(out) == sorted((i, t) for t, i in least.items())
         else:
             assert sorted(out) == brute(rows)
-    assert not any((tmp_path / "s").iterdir())
+    assert not any(tmp_path.iterdir())
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_partitions_send_each_text_once_a_window(keep):
+    rows = [(7, "a"), (3, "b"), (5, "a"), (3, "b"), (9, "c"), (5, "a")]
+    grace = G.GraceDedup("file:///unused", 1, 1 << 20, keep)
+    for window, texts in ((1 << 20, ["a", "b", "c"]), (0, sorted(t for _, t in rows))):
+        sent = list(grace.combine([b.select(["k", "text"]) for b in batches_of(rows, keep, 1)], window))
+        assert sorted(t for b in sent for t in b.column(1).to_pylist()) == texts
+        out = [r for b in grace.run(sent) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert sorted(out) == ([(3, "b"), (5, "a"), (9, "c")] if keep else brute(rows))
+
+
+def test_a_hundred_thousand_copies(spark):
+    """One text in most rows, over small buckets: what is shuffled doesn't grow with its copies."""
+    df = spark.range(100_000).selectExpr("id as doc_id", "if(id % 50 = 7, concat('own ', id), repeat('boiler plate ', 20)) as text", "'x' as ids")
+    got = G.exact_duplicates(df, bucket_bytes=1 << 12)
+    assert got.count() == 98_000 - 1 and got.where("duplicate_of <> 0").count() == 0
+    assert G.drop_exact_duplicates(df, bucket_bytes=1 << 12).selectExpr("min(doc_id)", "count(ids)").first() == (0, 2001)
 
 
 def test_table_compares_contents():
