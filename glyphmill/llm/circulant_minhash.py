@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import cut, id_and_text, slices, small
@@ -95,8 +96,9 @@ def signatures(grams: np.ndarray, starts: np.ndarray, coordinates: int, seed: in
 def _signed(
     docs: DataFrame, text: str, doc_id: str, words: int, bands: int, rows: int, seed: int
 ) -> DataFrame:
-    """doc_id, a fingerprint of the set of shingles, the hash of each band."""
+    """doc_id, a fingerprint of the set of shingles, its size, the last bit of each coordinate, the hash of each band."""
     coordinates = bands * rows
+    words_of_bits = -(-coordinates // 64)
     salt = np.arange(1, bands + 1, dtype=np.uint64) * _M2
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,24 +111,30 @@ def _signed(
             h = np.broadcast_to(salt, (len(some), bands)).copy()
             for r in range(rows):
                 h = _mix(h + sig[:, :, r])
-            marks = []
+            marks, sizes = [], []
             for i in some:
                 own = np.unique(grams[starts[i] : starts[i + 1]])
                 marks.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+            bits = np.zeros((len(some), words_of_bits * 64), bool)
+            bits[:, :coordinates] = sig.reshape(len(some), coordinates) & np.uint64(1)
+            bits = np.packbits(bits, axis=1).view(np.int64).reshape(-1)
             yield pa.record_batch(
                 [
                     ids,
                     pa.array(marks, pa.binary()),
+                    pa.array(sizes, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * words_of_bits), pa.array(bits)),
                     pa.ListArray.from_arrays(
                         pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(h.reshape(-1).view(np.int64))
                     ),
                 ],
-                names=["doc_id", "mark", "bands"],
+                names=["doc_id", "mark", "n", "bits", "bands"],
             )
 
     rows_ = id_and_text(docs, doc_id, text)
     return rows_.where("doc_id is not null and text is not null").mapInArrow(
-        sign, "doc_id long, mark binary, bands array<long>"
+        sign, "doc_id long, mark binary, n long, bits array<long>, bands array<long>"
     )
 
 
@@ -163,6 +171,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, words:
     return both.where(F.col("jaccard") >= threshold).select("a", "b").distinct()
 
 
+def _possible(coordinates: int, threshold: float) -> F.Column:
+    """Whether documents (na, xa) and (nb, xb), sizes of sets and bits of coordinates, may be as similar as ``threshold``.
+
+    A set that is smaller than that share of another can't be. Two coordinates differ in their last bit with half the probability that they
+    differ, and a pair that is as similar as ``threshold`` has more unlike bits than six standard deviations allow once in 10^9.
+    """
+    p = (1 - threshold) / 2
+    most = coordinates * p + 6 * (coordinates * p * (1 - p)) ** 0.5
+    unlike = sum((F.bit_count(F.col("xa")[k].bitwiseXOR(F.col("xb")[k])) for k in range(-(-coordinates // 64))), F.lit(0))
+    return (F.least("na", "nb") >= F.greatest("na", "nb") * threshold) & (unlike <= most)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, group_id): the least id that edges (a, b) lead to, for every id in an edge.
 
@@ -202,7 +222,9 @@ def near_duplicates(
 
     Nothing is capped. Documents with equal sets of shingles are joined first, and one stands for all. In each bucket,
     all are verified against its least document; then every pair of a bucket that these edges leave unconnected is
-    verified as well, so the groups are those that verifying all pairs would give.
+    verified as well, so the groups are those that verifying all pairs would give. Before that, pairs go that can't be similar
+    enough by the sizes of their sets or, but for one in 10^9, by the last bits of their coordinates; so a bucket of many unlike
+    documents costs a comparison of a few numbers for each pair, and no texts.
 
     Rows with a null id or text, and texts without a word, are in no group. A text of fewer words than
     ``words`` is one shingle. Rows that share an id are one document, near another if any of its rows is.
@@ -214,22 +236,24 @@ def near_duplicates(
     equal = signed.groupBy("mark").agg(F.min("doc_id").alias("rep"))
     alike = signed.select("mark", "doc_id").join(equal, "mark").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     one = signed.join(equal.select("mark", F.col("rep").alias("doc_id")), ["mark", "doc_id"], "left_semi")
-    keyed = one.select("doc_id", F.explode("bands").alias("h"))
-    bucketed = keyed.selectExpr("doc_id", "h", "min(doc_id) over (partition by h) as hub", "max(doc_id) over (partition by h) as top")
-    bucketed = cut(bucketed.where("hub <> top").select("doc_id", "h", "hub").distinct())
-    stars = bucketed.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    sketch = F.struct("n", "bits").alias("s")
+    keyed = one.select("doc_id", sketch, F.explode("bands").alias("h"))
+    least = F.min(F.struct("doc_id", "s")).over(W.partitionBy("h")).alias("hub")
+    bucketed = keyed.select("doc_id", "h", "s", least, F.max("doc_id").over(W.partitionBy("h")).alias("top"))
+    bucketed = cut(bucketed.where("hub.doc_id <> top").dropDuplicates(["doc_id", "h", "s"]))
+    possible = _possible(bands * rows, threshold)
+    stars = bucketed.where("doc_id <> hub.doc_id").selectExpr(
+        "hub.doc_id as a", "doc_id as b", "hub.s.n as na", "s.n as nb", "hub.s.bits as xa", "s.bits as xb"
+    )
+    stars = stars.where(possible).select("a", "b").distinct()
     first = cut(_verified(stars, docs, text, doc_id, words, threshold))
     label = components(first)
-    member = bucketed.join(label, "doc_id", "left").select("h", "doc_id", "hub", F.coalesce("group_id", "doc_id").alias("g"))
+    member = bucketed.join(label, "doc_id", "left").select("h", "doc_id", "s", F.col("hub.doc_id").alias("hub"), F.coalesce("group_id", "doc_id").alias("g"))
     several = member.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h")
     open_ = cut(member.join(several, "h", "left_semi"))
-    rest = (
-        open_.select("h", F.col("doc_id").alias("a"), F.col("g").alias("ga"), "hub")
-        .join(open_.select("h", F.col("doc_id").alias("b"), F.col("g").alias("gb")), "h")
-        .where("a < b and ga <> gb and a <> hub")
-        .select("a", "b")
-        .distinct()
-    )
+    side = lambda x: open_.selectExpr("h", f"doc_id as {x}", f"g as g{x}", f"s.n as n{x}", f"s.bits as x{x}", "hub")
+    # All pairs of a bucket that are still apart; they are compared by their sketches where they meet, and few go on.
+    rest = side("a").join(side("b").drop("hub"), "h").where("a < b and ga <> gb and a <> hub").where(possible).select("a", "b").distinct()
     second = _verified(cut(rest), docs, text, doc_id, words, threshold)
     found = components(first.union(second).union(alike))
     return found.select("doc_id", F.col("group_id").alias("duplicate_of"))

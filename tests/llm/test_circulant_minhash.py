@@ -102,3 +102,31 @@ def test_components(spark):
         for a, b in edges:
             low[a] = low[b] = min(low[a], low[b])
     assert got == {x: g for x, g in low.items() if x != g}
+
+
+def test_a_bucket_of_many_unlike_documents(spark, monkeypatch):
+    """Bands of one coordinate, which documents share as all have one passage; few pairs are verified, and the right ones."""
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"d{i}w{j}" for j in range(140)] + passage)) for i in range(600)]
+    rows += [(5000 + i, rows[i][1].replace("w7 ", "x ")) for i in range(0, 40)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    verified = M._verified
+    monkeypatch.setattr(M, "_verified", lambda pairs, *a: seen.append(pairs.count()) or verified(pairs, *a))
+    got = {r.doc_id: r.duplicate_of for r in M.near_duplicates(df, bands=252, rows=1).collect()}
+    assert got == {5000 + i: i for i in range(40)}
+    assert sum(seen) < 0.1 * 600 * 600 / 2
+
+
+def test_sketches_leave_no_similar_pair_out(spark):
+    rows = planted(11)
+    sets = {i: shingle_set(t) for i, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = M._signed(df, "text", "doc_id", 3, 42, 6, 20)
+    a, b = (signed.selectExpr(f"doc_id as {x}", f"n as n{x}", f"bits as x{x}") for x in "ab")
+    kept = {(r.a, r.b) for r in a.join(b, a.a < b.b).where(M._possible(252, 0.6)).select("a", "b").collect()}
+    want = {(x, y) for x, y in itertools.combinations(sorted(sets), 2) if len(sets[x] & sets[y]) >= 0.6 * len(sets[x] | sets[y])}
+    assert want and want <= kept and len(kept) < 2 * len(want) + 50
+    assert {r.doc_id: r.n for r in signed.collect()} == {i: len(s) for i, s in sets.items()}
