@@ -6,6 +6,7 @@ import base64
 import struct
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ from .shared import id_and_text, pick, slices, texts
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokens of the 50k vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHE_WORDS = 100_000
+#: Pre-tokens of a generation of the cache; when it is full, those of the one before that weren't met again go.
+_CACHE_WORDS = 75_000
 
 
 def byte_characters() -> list[str]:
@@ -85,18 +87,45 @@ class ByteBpe:
         size = self.processor.get_piece_size() - 1
         self.bytes = [self.processor.id_to_piece(i).translate(_TO_BYTE).encode("latin-1") for i in range(size)]
         self.known: dict[str, bytes] = {}  # the ids as 32-bit numbers
+        self.older: dict[str, bytes] = {}
+        self.length = np.array([len(x) for x in self.bytes] + [0])
+        self.lossy: set[str] = set()  # pre-tokens whose ids don't give them back
 
-    def encode(self, bodies: list[str]) -> list[np.ndarray]:
+    def encode(self, bodies: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each text, and whether they give it back.
+
+        They do if its pre-tokens make up the text and each is had back from its ids, as decoding joins bytes of ids;
+        a pre-token is decoded once, when it is first encoded.
+        """
         words = [self.split(t) for t in bodies]
-        new = list(set().union(*words).difference(self.known))
-        if len(self.known) + len(new) > _CACHE_WORDS:
-            self.known.clear()
-            new = list(set().union(*words))
+        every = set().union(*words)
+        if len(self.known) > _CACHE_WORDS:
+            self.older, self.known = self.known, {}
+            self.lossy &= self.older.keys() | every
+        new = []
+        for w in every.difference(self.known):
+            if (ids := self.older.get(w)) is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
         if new:
-            mapped = [w.encode("utf-8", "replace").decode("latin-1").translate(_TO_CHARACTER) for w in new]
-            self.known.update((w, array("i", ids).tobytes()) for w, ids in zip(new, self.processor.encode(mapped, num_threads=1)))
+            self._learn(new)
         find = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(find, w)), np.int32) for w in words]
+        ids = [np.frombuffer(b"".join(map(find, w)), np.int32) for w in words]
+        return ids, ["".join(w) == t and self.lossy.isdisjoint(w) for w, t in zip(words, bodies)]
+
+    def _learn(self, new: list[str]) -> None:
+        raw = [w.encode("utf-8", "replace") for w in new]
+        found = self.processor.encode([r.decode("latin-1").translate(_TO_CHARACTER) for r in raw], num_threads=1)
+        ends = np.cumsum([len(ids) for ids in found])
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
+        packed, at = flat.tobytes(), [0, *(4 * ends).tolist()]
+        self.known.update((w, packed[a:b]) for w, a, b in zip(new, at, at[1:]))
+        # All in one: the bytes of all ids in turn, and how many there are of each pre-token.
+        total = np.concatenate([[0], np.cumsum(self.length[flat])])[ends]
+        sizes = np.cumsum([len(r) for r in raw])
+        if not np.array_equal(total, sizes) or b"".join(map(self.bytes.__getitem__, flat.tolist())) != b"".join(raw):
+            self.lossy.update(w for w, r, ids in zip(new, raw, found) if b"".join(map(self.bytes.__getitem__, ids)) != r)
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -108,10 +137,12 @@ def _lists(ids: list[np.ndarray | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in ids]))
 
 
-def _encoded(bpe: ByteBpe, column: pa.Array) -> tuple[list[str | None], list[np.ndarray | None]]:
+def _encoded(bpe: ByteBpe, column: pa.Array) -> tuple[list[np.ndarray | None], list[bool | None]]:
+    """Ids of each text, and whether they give it back; None for nulls."""
     bodies = texts(column)
-    found = iter(bpe.encode([t for t in bodies if t is not None]))
-    return bodies, [None if t is None else next(found) for t in bodies]
+    found = zip(*bpe.encode([t for t in bodies if t is not None]))
+    ids, same = zip(*((None, None) if t is None else next(found) for t in bodies))
+    return list(ids), list(same)
 
 
 def encode_documents(
@@ -121,14 +152,14 @@ def encode_documents(
 
     Texts are cut into pre-tokens by ``pattern``, which must match every character; each byte of one becomes a character,
     and sentencepiece merges them. An empty text has no tokens; a null text has null in all columns but the id. Strings of
-    special tokens in a text are ordinary text. Bytes that aren't UTF-8 are replaced first. Other columns are not read.
+    special tokens in a text are ordinary text. Bytes that aren't UTF-8 are replaced first. Very long texts are encoded whole;
+    repeated rows repeat theirs, a null id stays null, an empty table gives no rows. Other columns, of any name, are not read.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(model, pattern)
         for batch in slices(batches, 1, 1 << 20):
-            bodies, ids = _encoded(bpe, batch.column(1))
-            same = [None if t is None else bpe.decode(x.tolist()) == t for t, x in zip(bodies, ids)]
+            ids, same = _encoded(bpe, batch.column(1))
             count = pa.array([None if x is None else len(x) for x in ids], pa.int64())
             yield pa.record_batch(
                 [batch.column(0), count, _lists(ids), pa.array(same, pa.bool_())],
@@ -164,8 +195,8 @@ def with_tokens(docs: DataFrame, model: bytes, pattern: str = PATTERN, text: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(model, pattern)
         for batch in slices(batches, at, 1 << 20):
-            bodies, ids = _encoded(bpe, batch.column(at))
-            if not all(t is None or bpe.decode(x.tolist()) == t for t, x in zip(bodies, ids)):
+            ids, same = _encoded(bpe, batch.column(at))
+            if False in same:
                 raise ValueError("a text can't be had back from its tokens")
             count = pa.array([None if x is None else len(x) for x in ids], pa.int64())
             yield pa.record_batch([*batch.columns, _lists(ids), count], names=[*batch.schema.names, "token_ids", "n_tokens"])
