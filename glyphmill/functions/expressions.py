@@ -45,9 +45,13 @@ def utf16_length(text: Column) -> Column:
 
 
 def truncate(text: Column, most: int) -> Column:
-    """Texts of more than ``most`` code units are cut to three less and end in dots."""
-    cut = F.concat(F.substring(text, 1, most - 3), F.lit("..."))
-    return F.when(utf16_length(text) > most, cut).otherwise(text)
+    """Texts of more than ``most`` code units are cut to three less and end in dots. Half a character that the cut leaves becomes U+FFFD, as it does wherever such text is written."""
+    units, n = F.encode(text, "UTF-16BE"), most - 3
+    last = F.hex(F.substring(units, 2 * n - 1, 2))
+    halved = last.between("D800", "DBFF")
+    kept = F.decode(F.substring(units, F.lit(1), F.when(halved, 2 * n - 2).otherwise(2 * n)), "UTF-16BE")
+    short = F.concat(kept, F.when(halved, "\ufffd").otherwise(""), F.lit("..."))
+    return F.when(utf16_length(text) > most, short).otherwise(text)
 
 
 def fixed2(x: Column) -> Column:

@@ -45,25 +45,34 @@ def diff_metrics(changes: DataFrame, files: DataFrame, facts: DataFrame) -> Data
     ``changes`` as from ``changed_lines``, ``files`` (path, language, content) with new contents. Deleted files cost nothing. A line of
     comment alone is one only if it isn't the last of its file.
     """
-    base = changes.join(files.select("path", "language"), "path")
-    added = base.where("status <> 'deleted'").select("path", F.explode("added").alias("line"))
-    text = metrics.lines(files).select("path", (F.col("row") + 1).alias("line"), F.col("line").alias("body"), "row")
-    total = metrics.line_stats(files).select("path", "total_lines")
-    here = added.join(text, ["path", "line"]).join(total, "path").where(~X.is_blank(F.col("body")))
-    covered = intervals.rows_covered(facts.where("fact = 'comment'").select("path", "start_row", "end_row"))
-    comment = F.col("covered").isNotNull() & (F.col("line") < F.col("total_lines")) & X.comment_only_changed(F.col("body"))
-    marked = here.join(covered.withColumn("covered", F.lit(True)), ["path", "row"], "left").withColumn("is_comment", comment)
-    counted = marked.groupBy("path").agg(F.count_if(~F.col("is_comment")).alias("n"), F.count_if("is_comment").alias("c"))
-    code = marked.where("not is_comment").withColumn("at", F.monotonically_increasing_id()).select("path", "row", "at")
-    spans = facts.where("fact = 'branch'").select("path", "start_row", "end_row")
-    depth = intervals.depth_at(code, spans).groupBy("path").agg(F.sum("depth").alias("d"))
+    base = changes.join(files.select("path", "language", "content"), "path")
+    each = X.lines_of(F.col("content"))
+    wanted = F.filter("added", lambda i: (i >= 1) & (i <= F.size(each)))
+    # Each added line is looked at beside the text it is in: whether it is blank, and whether it reads as comment alone.
+    read = F.transform(
+        wanted,
+        lambda i: F.struct(
+            (i - 1).cast("long").alias("row"),
+            X.is_blank(F.element_at(each, i.cast("int"))).alias("blank"),
+            ((i < F.size(each)) & X.comment_only_changed(F.element_at(each, i.cast("int")))).alias("bare"),
+        ),
+    )
+    added = base.where("status <> 'deleted' and content is not null").select("path", F.explode(F.filter(read, lambda x: ~x["blank"])).alias("x"))
+    points = added.select("path", F.col("x.row").alias("row"), F.col("x.bare").alias("bare"))
+    of = lambda fact: facts.where(F.col("fact") == fact).select("path", "start_row", "end_row")
+    seen = intervals.depth_at(intervals.depth_at(points, of("comment")).withColumnRenamed("depth", "comments"), of("branch"))
+    is_comment = F.col("bare") & (F.col("comments") > 0)
+    counted = seen.groupBy("path").agg(
+        F.count_if(~is_comment).alias("n"), F.count_if(is_comment).alias("c"), F.sum(F.when(~is_comment, F.col("depth"))).alias("d")
+    )
     zero = lambda c: F.when(F.col("status") == "deleted", 0).otherwise(F.coalesce(F.col(c), F.lit(0))).cast("long")
-    rows = base.join(counted, "path", "left").join(depth, "path", "left").select(
+    sizes = changes.select("path", "status", F.size("added").alias("added"), F.size("removed").alias("removed"))
+    rows = sizes.join(files.select("path", "language"), "path").join(counted, "path", "left").select(
         "path",
         "language",
         "status",
-        F.when(F.col("status") == "deleted", 0).otherwise(F.size("added")).cast("long").alias("added_lines"),
-        F.size("removed").cast("long").alias("removed_lines"),
+        F.when(F.col("status") == "deleted", 0).otherwise(F.col("added")).cast("long").alias("added_lines"),
+        F.col("removed").cast("long").alias("removed_lines"),
         zero("n").alias("diff_nloc"),
         zero("d").alias("diff_complexity"),
         zero("c").alias("comment_lines"),

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import caching
 from ..functions import expressions as X
 
+#: Names of calls that are no calls of functions: (kinds, names) by language.
+BUILTINS = {
+    "solidity": (
+        (("super", "member", "this", "simple"), ("require", "assert", "revert", "emit")),
+        (("assembly",), ("if", "for", "switch", "case", "default", "let", "function", "leave", "break", "continue")),
+    ),
+    "go": (
+        (("simple",), tuple("append cap clear close complex copy delete imag len make max min new panic print println real recover".split())),
+    ),
+    "rust": (),
+}
 NODES = "node_ord long, id string, label string, file string, container string, container_kind string, visibility string, start_line long, start_col long, end_line long"
 EDGES = "edge_ord long, src string, dst string, kind string"
 
@@ -47,10 +58,11 @@ def edge_kind(call: Column, container_kind: Column, visibility: Column) -> Colum
     )
 
 
-def builtin_calls(calls: DataFrame, names: list[str], kinds: list[str] | None = None) -> DataFrame:
-    """``calls`` without those of the given names, of all kinds or of some."""
-    skip = F.col("name").isin(names)
-    return calls.where(~(skip if kinds is None else skip & F.col("kind").isin(kinds)))
+def without_builtins(calls: DataFrame, language: str) -> DataFrame:
+    """``calls`` (kind, name) without those of the language's ``BUILTINS``."""
+    for kinds, names in BUILTINS[language]:
+        calls = calls.where(~(F.col("kind").isin(*kinds) & F.col("name").isin(*names)))
+    return calls
 
 
 def upsert(symbols: DataFrame) -> DataFrame:
@@ -74,23 +86,25 @@ def first_match(candidates: DataFrame, keys: list[str], order: list[str | Column
 def ancestors(inheritance: DataFrame, depth: int = 64) -> DataFrame:
     """(child, ancestor, key): all that a container inherits from, ``key`` in the order of a depth-first search through parents in declared order.
 
-    A container that is an ancestor of itself isn't followed again. Longer chains than ``depth`` are an error of the recursion limit.
+    A container that is an ancestor of itself isn't followed again. Longer chains than ``depth`` are an error of the recursion limit. The
+    result is computed at once, with limits of recursion that are set for that only.
     """
     spark = inheritance.sparkSession
-    inheritance = inheritance.persist(StorageLevel.MEMORY_AND_DISK)  # every step of the recursion joins it
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(100, depth + 2)))
-    return spark.sql(
-        """
-        WITH RECURSIVE a(child, ancestor, key, trail) AS (
-          SELECT child, parent, array(ord), array(child, parent) FROM {i}
-          UNION ALL
-          SELECT a.child, i.parent, array_append(a.key, i.ord), array_append(a.trail, i.parent)
-          FROM a JOIN {i} i ON i.child = a.ancestor WHERE NOT array_contains(a.trail, i.parent)
+    inheritance = caching.settle(inheritance)  # every step of the recursion joins it
+    with caching.settings(spark, spark__sql__cteRecursionLevelLimit=str(max(100, depth + 2))):
+        found = spark.sql(
+            """
+            WITH RECURSIVE a(child, ancestor, key, trail) AS (
+              SELECT child, parent, array(ord), array(child, parent) FROM {i}
+              UNION ALL
+              SELECT a.child, i.parent, array_append(a.key, i.ord), array_append(a.trail, i.parent)
+              FROM a JOIN {i} i ON i.child = a.ancestor WHERE NOT array_contains(a.trail, i.parent)
+            )
+            SELECT child, ancestor, min(key) AS key FROM a GROUP BY child, ancestor
+            """,
+            i=inheritance,
         )
-        SELECT child, ancestor, min(key) AS key FROM a GROUP BY child, ancestor
-        """,
-        i=inheritance,
-    )
+        return caching.settle(found)
 
 
 def _symbols(facts: DataFrame, files: DataFrame, language: str) -> DataFrame:
@@ -129,27 +143,31 @@ def _symbols(facts: DataFrame, files: DataFrame, language: str) -> DataFrame:
 
 def _resolve(language: str, calls: DataFrame, symbols: DataFrame, facts: DataFrame) -> DataFrame:
     """Candidates (call key, dst, priorities) of all rules."""
-    s = symbols.select(F.col("label").alias("s_label"), F.col("container").alias("s_container"), F.col("id").alias("dst"), F.col("ord").alias("s_ord"), F.col("container_kind").alias("s_kind"), F.col("visibility").alias("s_visibility"))
     none = F.array().cast("array<long>")
     keep = [*calls.columns, "prio", "key", "dst", "s_ord", "s_kind", "s_visibility"]
-
-    def rule(on: Column, prio: int, rows: DataFrame = calls, key: Column = none) -> DataFrame:
-        return rows.join(s, (F.col("name") == F.col("s_label")) & on).withColumn("prio", F.lit(prio)).withColumn("key", key).select(*keep)
-
-    local, anyone, free = F.col("s_container") == F.col("container"), F.lit(True), F.col("s_container").isNull()
+    # Of the symbols that a rule may find for a name, only the first counts, so a call meets one row for each container that it looks in, however many functions share the name.
+    entry = F.struct(F.col("ord").alias("s_ord"), F.col("id").alias("dst"), F.col("container_kind").alias("s_kind"), F.col("visibility").alias("s_visibility"))
+    held = symbols.where("container is not null").groupBy(F.col("label").alias("s_label"), F.col("container").alias("s_container")).agg(F.min(entry).alias("s"))
+    loose = symbols.where("container is null").groupBy(F.col("label").alias("s_label")).agg(F.min(entry).alias("s"))
+    every_one = symbols.groupBy(F.col("label").alias("s_label")).agg(F.min(entry).alias("s"))
+
+    def rule(on: Column | DataFrame, prio: int, rows: DataFrame = calls, key: Column = none) -> DataFrame:
+        """Candidates of symbols in the container that ``on`` demands, or of ``on``, symbols by name alone."""
+        found = rows.join(on, F.col("name") == F.col("s_label")) if isinstance(on, DataFrame) else rows.join(held, (F.col("name") == F.col("s_label")) & on)
+        return found.select("*", "s.*").withColumn("prio", F.lit(prio)).withColumn("key", key).select(*keep)
+
+    local = F.col("s_container") == F.col("container")
     kind = F.col("kind")
     if language == "go":
-        selector = kind == "selector"
-        rules = [rule(~selector & free, 0), rule(selector & local, 0), rule(anyone, 1)]
+        rules = [rule(loose, 0, calls.where(kind != "selector")), rule(local, 0, calls.where(kind == "selector")), rule(every_one, 1)]
     elif language == "rust":
         scoped = kind.isin("scoped", "generic_scoped")
         simple = kind.isin("simple", "generic_simple")
-        scope = calls.withColumn("scope", F.col("receiver"))
         rules = [
-            rule(scoped & (F.col("s_container") == F.col("scope")), 0, scope),
-            rule(~scoped & local, 0),
-            rule(simple & free, 1),
-            rule(anyone, 2),
+            rule(F.col("s_container") == F.col("receiver"), 0, calls.where(scoped)),
+            rule(local, 0, calls.where(~scoped)),
+            rule(loose, 1, calls.where(simple)),
+            rule(every_one, 2),
         ]
     else:
         c = facts.where("fact = 'container' and language = 'solidity'")
@@ -175,8 +193,8 @@ def _resolve(language: str, calls: DataFrame, symbols: DataFrame, facts: DataFra
             rule(F.col("s_container") == F.col("l_name"), 1, using, F.col("l_key")),
             rule(local, 0, simple),
             rule(F.col("s_container") == F.col("a_name"), 1, inherited, F.col("a_key")),
-            rule(free, 2, simple),
-            rule(anyone, 3, simple),
+            rule(loose, 2, simple),
+            rule(every_one, 3, simple),
         ]
     out = rules[0]
     for r in rules[1:]:
@@ -190,13 +208,13 @@ def call_graph(facts: DataFrame, files: DataFrame, language: str) -> tuple[DataF
     A symbol that is defined again keeps its place, takes the new values and loses the calls of the old body. A call goes to
     the first symbol of the first rule that finds one: in its own container, what it inherits or uses, free functions, any of the name.
     """
-    raw = _symbols(facts, files, language)
+    raw = caching.settle(_symbols(facts, files, language))
     table = upsert(raw)
     calls = facts.where((F.col("fact") == "call") & (F.col("language") == language)).select(
         F.col("path").alias("file"), "fn_ord", F.col("ord").alias("call_ord"), "kind", "name", F.col("owner").alias("receiver")
     )
     callers = first_match(table, ["file", "fn_ord"], ["ord"]).select("file", "fn_ord", F.col("id").alias("src"), "container", "file_ord")
-    sites = calls.join(callers, ["file", "fn_ord"])
+    sites = caching.settle(without_builtins(calls, language).join(callers, ["file", "fn_ord"]))  # every rule joins them
     found = first_match(_resolve(language, sites, raw, facts), ["file", "fn_ord", "call_ord"], ["prio", "key", "s_ord"])
     kind = edge_kind(F.col("kind"), F.col("s_kind"), F.col("s_visibility")) if language == "solidity" else F.lit("internal")
     place = F.struct("file_ord", "fn_ord", "call_ord")
@@ -208,9 +226,11 @@ def call_graph(facts: DataFrame, files: DataFrame, language: str) -> tuple[DataF
 
 def combined(facts: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of all languages that have graphs; those of the language that comes first in ``files`` come first."""
+    files = caching.settle(files.select("path", "language", "file_ord"))
     first = files.groupBy("language").agg(F.min("file_ord").alias("lang_ord"))
+    present = {r.language for r in first.collect()}  # a row for each language
     nodes = edges = None
-    for language in ("solidity", "rust", "go"):
+    for language in [x for x in ("solidity", "rust", "go") if x in present] or ["go"]:
         n, e = call_graph(facts, files, language)
         at = first.where(F.col("language") == language).select("lang_ord")
         n = n.crossJoin(F.broadcast(at)).withColumn("node_ord", F.struct("lang_ord", "node_ord")).drop("lang_ord")

@@ -38,10 +38,19 @@ def nesting_sweep(spans: DataFrame, key: str = "path") -> DataFrame:
 
 
 def depth_at(points: DataFrame, spans: DataFrame, key: str = "path", at: str = "row") -> DataFrame:
-    """``points`` with ``depth``: the number of spans whose rows, both ends included, hold ``at``."""
-    o = spans.select(F.col(key).alias("o_key"), "start_row", "end_row")
-    held = (F.col(key) == F.col("o_key")) & F.col(at).between(F.col("start_row"), F.col("end_row"))
-    return points.join(o, held, "left").groupBy(*points.columns).agg(F.count("start_row").alias("depth"))
+    """``points`` with ``depth``: the number of spans whose rows, both ends included, hold ``at``.
+
+    A running sum over starts, points and ends in the order of rows: n log n in a group, and no self-join.
+    """
+    names = points.columns
+    here = points.select(F.struct(*names).alias("p_"), F.col(key).alias("k_"), F.col(at).cast("long").alias("at_"), F.lit(1).alias("kind_"), F.lit(0).alias("d_"))
+    none = F.lit(None).cast(here.schema["p_"].dataType)
+    real = spans.where("start_row <= end_row")
+    starts = real.select(none, F.col(key), F.col("start_row").cast("long"), F.lit(0), F.lit(1))
+    ends = real.select(none, F.col(key), F.col("end_row").cast("long"), F.lit(2), F.lit(-1))
+    order = W.partitionBy("k_").orderBy("at_", "kind_").rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = here.union(starts).union(ends).withColumn("depth", F.sum("d_").over(order)).where("p_ is not null")
+    return swept.select(*[F.col("p_")[n].alias(n) for n in names], "depth")
 
 
 def rows_covered(spans: DataFrame, key: str = "path") -> DataFrame:

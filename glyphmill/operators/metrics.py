@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -10,56 +10,59 @@ from ..languages import language_dim
 from . import intervals
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """(path, row, line) of (path, content); rows count from 0."""
-    return files.select("path", F.posexplode(X.lines_of(F.col("content"))).alias("row", "line"))
-
-
-def line_stats(files: DataFrame) -> DataFrame:
-    """(path, total_lines, blank_lines); no row of lines is shuffled."""
+def _line_counts() -> tuple[Column, Column]:
     each = X.lines_of(F.col("content"))
-    return files.select(
-        "path",
+    return (
         F.size(each).cast("long").alias("total_lines"),
         F.size(F.filter(each, X.is_blank)).cast("long").alias("blank_lines"),
     )
 
 
-def comment_stats(comments: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, lines_with_comments, comment_only) of (path, start_row, end_row); files without comments have no row."""
-    rows = intervals.rows_covered(comments).join(lines(files), ["path", "row"], "left")
-    return rows.groupBy("path").agg(
-        F.count("*").alias("lines_with_comments"), F.count_if(X.comment_only(F.col("line"))).alias("comment_only")
-    )
+def line_stats(files: DataFrame) -> DataFrame:
+    """(path, total_lines, blank_lines); no row of lines is shuffled."""
+    return files.select("path", *_line_counts())
+
+
+def comment_stats(comments: DataFrame) -> DataFrame:
+    """(path, lines_with_comments, comment_only) of facts of comments, which count the rows they cover; files without comments have no row."""
+    return comments.groupBy("path").agg(F.sum("rows").alias("lines_with_comments"), F.sum("bare_rows").alias("comment_only"))
 
 
 def cognitive_complexity(branches: DataFrame) -> DataFrame:
-    """(path, complexity): each branch counts one, and one for every branch around it."""
+    """(path, complexity) of spans of branches: each counts one, and one for every branch around it."""
     return intervals.nesting_sweep(branches).groupBy("path").agg(F.sum(F.col("nesting") + 1).alias("complexity"))
 
 
-def normalization(spans: DataFrame) -> DataFrame:
-    """(path, adjustment): the lines by which outermost constructs exceed one; of functions with a body only what is before it."""
+def _excess() -> Column:
+    """Lines of a construct beyond its first; of a function with a body only those before that."""
     last = F.when(F.col("body_row").isNotNull(), F.col("body_row") - 1).otherwise(F.col("end_row"))
-    return (
-        intervals.outermost(spans)
-        .groupBy("path")
-        .agg(F.sum(F.greatest(last - F.col("start_row"), F.lit(0))).alias("adjustment"))
+    return F.greatest(last - F.col("start_row"), F.lit(0))
+
+
+def normalization(spans: DataFrame) -> DataFrame:
+    """(path, adjustment) of spans of constructs: the lines by which outermost ones exceed one; of functions with a body only what is before it."""
+    return intervals.outermost(spans).groupBy("path").agg(F.sum(_excess()).alias("adjustment"))
+
+
+def totals(facts: DataFrame) -> DataFrame:
+    """(path, lines_with_comments, comment_only, complexity, adjustment, errors): all that metrics need of facts, in one aggregation.
+
+    The scanner says how deep branches are and which constructs are in others, as ``nesting`` and ``outermost`` would.
+    """
+    of = lambda fact, value: F.coalesce(F.sum(F.when(F.col("fact") == fact, value)), F.lit(0))
+    return facts.groupBy("path").agg(
+        of("comment", F.col("rows")).alias("lines_with_comments"),
+        of("comment", F.col("bare_rows")).alias("comment_only"),
+        of("branch", F.col("depth") + 1).alias("complexity"),
+        of("norm", F.when(F.col("depth") == 0, _excess())).alias("adjustment"),
+        F.count_if(F.col("fact") == "error").alias("errors"),
     )
 
 
 def file_metrics(files: DataFrame, facts: DataFrame) -> DataFrame:
     """(path, language, nloc, lines_with_comments, comment_density, complexity, estimated_hours) for each file that was scanned."""
-    of = lambda fact, *names: facts.where(F.col("fact") == fact).select("path", *names)
-    bad = of("error").distinct()
-    joined = files.select("path", "language", "content").where("content is not null")
-    joined = line_stats(joined).join(joined.select("path", "language"), "path").join(bad, "path", "left_anti")
-    for part in (
-        comment_stats(of("comment", "start_row", "end_row"), files),
-        cognitive_complexity(of("branch", "ord", "start_idx", "end_idx")),
-        normalization(of("norm", "ord", "start_idx", "end_idx", "start_row", "end_row", "body_idx", "body_row")),
-    ):
-        joined = joined.join(part, "path", "left")
+    known = files.where("content is not null").select("path", "language", *_line_counts())
+    joined = known.join(totals(facts), "path", "left").where("coalesce(errors, 0) = 0")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     nloc = F.greatest(F.lit(0), F.col("total_lines") - F.col("blank_lines") - zero("comment_only") - zero("adjustment"))
     out = joined.select("path", "language", nloc.alias("nloc"), zero("lines_with_comments").alias("lines_with_comments"), zero("complexity").alias("complexity"))
@@ -96,6 +99,17 @@ def signatures(facts: DataFrame, most: int = 80) -> DataFrame:
     )
 
 
+def merge_maps(*maps: DataFrame, key: str = "path") -> DataFrame:
+    """The rows of all maps, of those with one key that of the last map; within a map keys come once."""
+    parts = [m.withColumn("part_", F.lit(k)) for k, m in enumerate(maps)]
+    every = parts[0]
+    for m in parts[1:]:
+        every = every.unionByName(m)
+    values = [c for c in maps[0].columns if c != key]
+    last = every.groupBy(key).agg(F.max_by(F.struct(*values), "part_").alias("v"))
+    return last.select(key, *[F.col(f"v.{c}").alias(c) for c in values])
+
+
 def signatures_by_file(facts: DataFrame) -> DataFrame:
     """(path, signatures) in the order of the source; files without functions have no row."""
     each = signatures(facts).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("fn_ord", "signature"))).alias("s"))

@@ -1,14 +1,17 @@
-"""The five tools: peek, metrics, execution_paths, diff_metrics and diff, as DataFrames."""
+"""The five tools: peek, metrics, execution_paths, diff_metrics and diff, as DataFrames.
+
+Facts that several questions read are kept until ``release()``, or the end of the ``scope()`` in which a tool was called.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..caching import keep, release, scope
 from ..languages import route
 from ..operators import diff as D
 from ..operators import graph as G
@@ -18,6 +21,8 @@ from ..sources import files as S
 from ..sources import git
 from ..sources.scanner import scan_files
 
+__all__ = ["Report", "call_graph", "diff", "diff_metrics", "execution_paths", "metrics", "peek", "release", "scope"]
+
 
 @dataclass
 class Report:
@@ -30,7 +35,7 @@ class Report:
 
 def facts_of(files: DataFrame) -> DataFrame:
     """Facts of the files, kept: all questions about them read the one scan."""
-    return scan_files(files).persist(StorageLevel.MEMORY_AND_DISK)
+    return keep(scan_files(files))
 
 
 def peek(spark: SparkSession, patterns: str | Iterable[str], root: str = ".") -> DataFrame:
@@ -38,8 +43,9 @@ def peek(spark: SparkSession, patterns: str | Iterable[str], root: str = ".") ->
     return peek_files(S.read(spark, patterns, root))
 
 
-def peek_files(files: DataFrame) -> DataFrame:
-    return M.signatures_by_file(scan_files(files))
+def peek_files(*files: DataFrame) -> DataFrame:
+    """(path, signatures); of several collections of files with a path in common the last counts."""
+    return M.merge_maps(*(M.signatures_by_file(scan_files(f)) for f in files)) if len(files) > 1 else M.signatures_by_file(scan_files(*files))
 
 
 def metrics(spark: SparkSession, patterns: str | Iterable[str], root: str = ".") -> Report:
@@ -67,8 +73,8 @@ def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _sides(spark: SparkSession, base: str, head: str, paths: Iterable[str], cwd: str, working_tree: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The diff, and the files of known languages before and after: where the revisions parted, and the head, or what lies in the working tree now."""
-    diffs = git.parse_diffs(spark, git.diff_text(base, head, paths, cwd)).persist(StorageLevel.MEMORY_AND_DISK)
-    # Paths of a diff are few beside the contents that git reads for them on the driver.
+    diffs = keep(git.diffs(spark, base, head, paths, cwd))
+    # Only paths come to the driver; executors ask git for the contents.
     listed = [(r.path, r.old_path, r.status) for r in D.status(diffs).select("path", "old_path", "status").collect() if S.known(r.path)]
     before = git.snapshots(spark, git.merge_base(base, head, cwd), [o for _, o, s in listed if s != "added" and o], cwd)
     # A renamed file is compared under its new name.
@@ -102,7 +108,7 @@ def diff(
 ) -> DataFrame:
     """``full``: (path, status, diff) of all files; ``signatures``: (path, status, added, modified, removed) of those in known languages."""
     if output == "full":
-        return D.full_diff(git.parse_diffs(spark, git.diff_text(base, head, paths, cwd)))
+        return D.full_diff(git.diffs(spark, base, head, paths, cwd))
     if output != "signatures":
         raise ValueError(f"output is full or signatures, not {output}")
     diffs, before, after = _sides(spark, base, head, paths, cwd, working_tree)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import expressions as X
@@ -14,8 +16,10 @@ from .operators import graph as G
 from .operators import intervals as I
 from .operators import metrics as M
 from .operators import paths as P
+from .plans import api, corpus
 from .plans.api import facts_of
-from .plans.corpus import inheriting_files, source_files, table
+from .plans.corpus import TEMPLATES, inheriting_files, mixed_files, source_files, table
+from .sources import files as S
 from .sources.scanner import scan_files
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
@@ -61,14 +65,20 @@ def _hours(nloc: str, complexity: str, density: str) -> str:
     return _fixed2(f"({nloc}::DOUBLE / rate * 8 * {factor})")
 
 
-#: What is known of the files of ``source_files``.
-_PART = """
-    SELECT *, 1 + c + (CASE WHEN m = 0 THEN 1 ELSE m + 2 END) + 2 * d + 3 + b AS total, d * (d + 1) // 2 AS complexity,
-           'src/f' || k || (CASE k % 3 WHEN 0 THEN '.sol' WHEN 1 THEN '.go' ELSE '.rs' END) AS path,
-           (CASE k % 3 WHEN 0 THEN 'solidity' WHEN 1 THEN 'go' ELSE 'rust' END) AS language
-    FROM (SELECT p_partkey AS k, (p_size % 5)::BIGINT AS d, (p_size % 4)::BIGINT AS c, (p_size % 3)::BIGINT AS b, (p_partkey % 4)::BIGINT AS m FROM part)"""
+def _each(of: Callable[[corpus.Template], str]) -> str:
+    """SQL of what the template of part k has."""
+    return "[" + ", ".join("'" + of(t).replace("'", "''") + "'" for t in TEMPLATES) + f"][1 + k % {len(TEMPLATES)}]"
+
+
+#: What is known of the files of ``source_files``: x are the lines that a function counts less, all but one where its body isn't known.
+_PART = f"""
+    SELECT *, 1 + c + signature_rows + 2 * d + 3 + b AS total, d * (d + 1) // 2 AS complexity, 'src/f' || k || {_each(lambda t: "." + t.extension)} AS path,
+           CASE WHEN language IN ('compact', 'masm') THEN signature_rows + 2 * d + 1 ELSE m END AS x
+    FROM (SELECT *, CASE WHEN m = 0 THEN 1 ELSE m + 2 END AS signature_rows FROM (
+      SELECT p_partkey AS k, {_each(lambda t: t.language).replace("k %", "p_partkey %")} AS language, (p_size % 5)::BIGINT AS d, (p_size % 4)::BIGINT AS c, (p_size % 3)::BIGINT AS b,
+             CASE WHEN language = 'masm' THEN 0 ELSE (p_partkey % 4)::BIGINT END AS m FROM part))"""
 _METRICS = f"""
-    WITH f AS ({_PART}), n AS (SELECT *, total - b - c - m AS nloc FROM f),
+    WITH f AS ({_PART}), n AS (SELECT *, total - b - c - x AS nloc FROM f),
     g AS (SELECT *, {_fixed2("(c::DOUBLE / nloc * 100)")} AS comment_density FROM n)
     SELECT path, language, nloc, c AS lines_with_comments, complexity, comment_density, {_hours("nloc", "(complexity::DOUBLE / nloc * 100)", "comment_density")} AS estimated_hours
     FROM g JOIN {_DIM} USING (language)"""
@@ -101,11 +111,13 @@ def language_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("language", language_of(F.col("path"))).where("language is not null")
 
 
-@_query("SELECT n_name AS path, max(c_custkey) AS content FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+@_query("""SELECT coalesce(a.path, b.path, c.path) AS path, coalesce(c.content, b.content, a.content) AS content FROM (SELECT c_name AS path, 'first' AS content FROM customer WHERE c_custkey % 2 = 0) a
+    FULL JOIN (SELECT c_name AS path, c_mktsegment AS content FROM customer WHERE c_custkey % 3 = 0) b USING (path) FULL JOIN (SELECT c_name AS path, 'last ' || c_custkey AS content FROM customer WHERE c_custkey % 5 = 0) c USING (path)""")
 def map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of one path from several maps: the last wins."""
-    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy(F.col("n_name").alias("path")).agg(F.max_by("c_custkey", "c_custkey").alias("content"))
+    """Three maps with keys in common: the last has its say."""
+    rows = table(spark, sf_dir, "customer")
+    part = lambda n, e: rows.where(f"c_custkey % {n} = 0").selectExpr("c_name as path", f"{e} as content")
+    return M.merge_maps(part(2, "'first'"), part(3, "c_mktsegment"), part(5, "concat('last ', c_custkey)"))
 
 
 # Comments, branches, constructs.
@@ -113,8 +125,7 @@ def map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT path, c AS lines_with_comments, c AS comment_only FROM ({_PART}) WHERE c > 0")
 def comment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = source_files(spark, sf_dir)
-    return M.comment_stats(scan_files(files).where("fact = 'comment'"), files)
+    return M.comment_stats(scan_files(source_files(spark, sf_dir)).where("fact = 'comment'"))
 
 
 @_query("""WITH s AS (
@@ -190,7 +201,7 @@ def outermost_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.outermost(spans.withColumn("body_idx", F.expr("case when ord % 2 = 0 then start_idx + 4 end"))).select("path", "ord")
 
 
-@_query(f"SELECT path, m AS adjustment FROM ({_PART}) WHERE m > 0")
+@_query(f"SELECT path, x AS adjustment FROM ({_PART}) WHERE x > 0")
 def normalization_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.normalization(scan_files(source_files(spark, sf_dir)).where("fact = 'norm'")).where("adjustment > 0")
 
@@ -223,9 +234,12 @@ def days_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Signatures.
 
 
-@_query(f"""SELECT path, 0::BIGINT AS ord, (CASE k % 3 WHEN 0 THEN 'function f' WHEN 1 THEN 'func f' ELSE 'pub fn f' END) || k || '('
-    || array_to_string(list_transform(range(greatest(m, 1)), lambda i: CASE k % 3 WHEN 0 THEN 'uint p' WHEN 1 THEN 'p int' ELSE 'p: u32' END), ', ')
-    || (CASE WHEN k % 3 = 1 AND m > 0 THEN ', )' ELSE ')' END) || (CASE k % 3 WHEN 0 THEN ' public' ELSE '' END) AS signature FROM ({_PART})""")
+_SIGNATURE = f"""CASE WHEN language = 'masm' THEN 'export.f' || k || repeat(' if.true', d::INT) || ' push.1' || repeat(' end', d::INT + 1)
+    ELSE {_each(lambda t: t.f)} || k || '(' || array_to_string(list_transform(range(greatest(m, 1)), lambda i: {_each(lambda t: t.param)}), ', ')
+    || (CASE WHEN language = 'go' AND m > 0 THEN ', ' ELSE '' END) || {_each(lambda t: t.tail.removesuffix(" {"))} END"""
+
+
+@_query(f"SELECT path, 0::BIGINT AS ord, {_SIGNATURE} AS signature FROM ({_PART})")
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = M.signatures_by_file(scan_files(source_files(spark, sf_dir)))
     return lists.select("path", F.posexplode("signatures").alias("ord", "signature")).withColumn("ord", F.col("ord").cast("long"))
@@ -383,10 +397,117 @@ def edge_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", G.edge_kind(call, container, visibility).alias("kind"))
 
 
-@_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_returnflag = 'A' OR l_returnflag = 'N' AND l_linestatus = 'O')")
+@_query("""SELECT l_orderkey, l_linenumber, l_partkey, language FROM (SELECT *, ['len', 'require', 'if', 'append', 'emit', 'run'][1 + l_partkey % 6] AS name, ['simple', 'selector', 'assembly', 'member'][1 + l_suppkey % 4] AS kind FROM lineitem), (VALUES ('go'), ('solidity'), ('rust')) v(language)
+    WHERE NOT (language = 'go' AND kind = 'simple' AND name IN ('len', 'append')) AND NOT (language = 'solidity' AND (kind IN ('simple', 'member') AND name IN ('require', 'emit') OR kind = 'assembly' AND name = 'if'))""")
 def builtin_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_returnflag as name", "l_linestatus as kind")
-    return G.builtin_calls(G.builtin_calls(calls, ["A"]), ["N"], ["O"]).select("l_orderkey", "l_linenumber")
+    """Calls that call graphs are made of: those without builtins of their language."""
+    calls = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "element_at(array('len', 'require', 'if', 'append', 'emit', 'run'), int(l_partkey % 6) + 1) as name",
+        "element_at(array('simple', 'selector', 'assembly', 'member'), int(l_suppkey % 4) + 1) as kind",
+    )
+    parts = [G.without_builtins(calls, x).select("l_orderkey", "l_linenumber", "l_partkey", F.lit(x).alias("language")) for x in ("go", "solidity", "rust")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+# Graphs of source text in three languages.
+
+
+def _nations(*rows: str) -> str:
+    """SQL of rows for each nation; {n} and {up} stand for its key and half of it."""
+    filled = lambda r: re.sub(r"\{(\w+)\}", r"' || \1 || '", r)
+    return f"SELECT * FROM (SELECT n_nationkey AS n, n_nationkey // 2 AS up FROM nation), LATERAL (VALUES {', '.join(map(filled, rows))})"
+
+
+_UP = "up{n}(function(uint) external cb, uint[] memory x)"
+_SOLIDITY_EDGES = _nations(
+    f"('C{{n}}.{_UP}', 'B{{n}}.{_UP}', 'internal')", "('C{n}.all{n}(uint x)', 'L{n}.lib{n}(uint a, uint b)', 'internal')", "('C{n}.all{n}(uint x)', 'L{n}.ext{n}(uint a)', 'external')",
+    f"('C{{n}}.all{{n}}(uint x)', 'C{{n}}.{_UP}', 'external')", "('C{n}.all{n}(uint x)', 'C{n}.yul{n}()', 'internal')", "('C{n}.receive()', 'C{n}.yul{n}()', 'internal')",
+) + " t(src, dst, kind)"
+_GO_EDGES = _nations(
+    "('T{n}.Run{n}', 'helper{n}', 'internal')", "('T{n}.Run{n}', 'T{n}.stop{n}', 'internal')", "('T{n}.stop{n}', 'shared{up}', 'internal')",
+    "('helper{n}', 'T{up}.Run{up}', 'internal')", "('shared{n}', 'helper{n}', 'internal')",
+) + " t(src, dst, kind)"
+_RUST_EDGES = _nations(
+    "('m{n}::inner{n}', 'outer{n}', 'internal')", "('S{n}::new{n}', 'S{up}::make{up}', 'internal')", "('S{n}::make{n}', 'S{n}::own{n}', 'internal')",
+    "('S{n}::own{n}', 'outer{n}', 'internal')", "('outer{n}', 'S{up}::make{up}', 'internal')",
+) + " t(src, dst, kind)"
+_SOLIDITY_NODES = _nations(
+    "('L{n}.lib{n}(uint a, uint b)', 'L{n}', 'internal', 0)", "('L{n}.ext{n}(uint a)', 'L{n}', 'public', 1)", f"('B{{n}}.{_UP}', 'B{{n}}', 'public', 2)", f"('C{{n}}.{_UP}', 'C{{n}}', 'public', 3)",
+    "('C{n}.all{n}(uint x)', 'C{n}', 'external', 4)", "('C{n}.yul{n}()', 'C{n}', 'private', 5)", "('C{n}.receive()', 'C{n}', 'external', 6)",
+) + " t(id, container, visibility, o)"
+_GO_NODES = _nations("('helper{n}', NULL, 'private', 0)", "('shared{n}', NULL, 'private', 1)", "('T{n}.Run{n}', 'T{n}', 'public', 2)", "('T{n}.stop{n}', 'T{n}', 'private', 3)") + " t(id, container, visibility, o)"
+_RUST_NODES = _nations(
+    "('S{n}::new{n}', 'S{n}', 'public', 0)", "('S{n}::make{n}', 'S{n}', 'private', 1)", "('S{n}::own{n}', 'S{n}', 'internal', 2)", "('m{n}::inner{n}', 'm{n}', 'public', 3)", "('outer{n}', NULL, 'public', 4)",
+) + " t(id, container, visibility, o)"
+
+
+def _graph_of(language: str, text: str, extension: str) -> Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]:
+    def made(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+        files = corpus.nation_files(spark, sf_dir, extension, text)
+        return G.call_graph(facts_of(files), files, language)
+
+    return made
+
+
+_solidity_graph, _go_graph, _rust_graph = (
+    _graph_of(*x) for x in (("solidity", corpus.SOLIDITY, "sol"), ("go", corpus.GO, "go"), ("rust", corpus.RUST, "rs"))
+)
+
+
+@_query(f"SELECT src, dst, kind FROM ({_SOLIDITY_EDGES})")
+def solidity_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls to a parent, a library, by using-for, through this, in assembly and from receive."""
+    return _solidity_graph(spark, sf_dir)[1].select("src", "dst", "kind")
+
+
+@_query(f"SELECT id, container, visibility FROM ({_SOLIDITY_NODES})")
+def solidity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers with the full text of parameters, visibility by token and by container."""
+    return _solidity_graph(spark, sf_dir)[0].select("id", "container", "visibility")
+
+
+@_query(f"SELECT src, dst, kind FROM ({_GO_EDGES})")
+def go_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _go_graph(spark, sf_dir)[1].select("src", "dst", "kind")
+
+
+@_query(f"SELECT id, container, visibility FROM ({_GO_NODES})")
+def go_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _go_graph(spark, sf_dir)[0].select("id", "container", "visibility")
+
+
+@_query(f"SELECT src, dst, kind FROM ({_RUST_EDGES})")
+def rust_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rust_graph(spark, sf_dir)[1].select("src", "dst", "kind")
+
+
+@_query(f"SELECT id, container, visibility FROM ({_RUST_NODES})")
+def rust_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rust_graph(spark, sf_dir)[0].select("id", "container", "visibility")
+
+
+@_query(f"SELECT src, dst, kind FROM ({_SOLIDITY_EDGES}) UNION ALL SELECT src, dst, kind FROM ({_GO_EDGES}) UNION ALL SELECT src, dst, kind FROM ({_RUST_EDGES})")
+def combined_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = mixed_files(spark, sf_dir)
+    return G.combined(facts_of(files), files)[1].select("src", "dst", "kind")
+
+
+@_query(f"""SELECT id, row_number() OVER (ORDER BY l, n, o) AS place FROM (SELECT 0 AS l, n, o, id FROM ({_RUST_NODES}) UNION ALL SELECT 1, n, o, id FROM ({_GO_NODES}) UNION ALL SELECT 2, n, o, id FROM ({_SOLIDITY_NODES}))""")
+def combined_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All symbols, in the order of languages by their first file, then of files and of the search in each."""
+    files = mixed_files(spark, sf_dir)
+    nodes = G.combined(facts_of(files), files)[0]
+    return nodes.select("id", F.row_number().over(W.orderBy("node_ord")).cast("long").alias("place"))
+
+
+@_query("""SELECT 'p' || (n_nationkey % 5) AS src, 's' || max(n_nationkey) AS dst FROM nation GROUP BY n_nationkey % 5 UNION ALL SELECT 'q' || n_nationkey, 's' || (n_nationkey % 5) FROM nation WHERE n_nationkey >= 5""")
+def redefined_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of one name in several files of Go: the last definition has the calls, those of earlier ones are lost; each file calls the first of a name."""
+    text = F.when(F.col("n_nationkey") < 5, corpus._filled("package p\nfunc p{n}() { s{n}() }\nfunc s{n}() {}\n")).otherwise(
+        F.concat(corpus._filled("package p\nfunc q{n}() { s"), F.expr("n_nationkey % 5").cast("string"), F.lit("() }\nfunc p"), F.expr("n_nationkey % 5").cast("string"), corpus._filled("() { s{n}() }\nfunc s{n}() {}\n"))
+    )
+    files = corpus.nation_files(spark, sf_dir, "go", text)
+    return G.call_graph(facts_of(files), files, "go")[1].select("src", "dst")
 
 
 # Diffs.
@@ -478,3 +599,113 @@ def signature_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"{_SIDES} SELECT path, status, fn_ord AS ord, signature FROM head t WHERE status = 'modified' AND line BETWEEN start_line AND end_line AND EXISTS ({_BOTH.format('base')})")
 def signature_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes("modified")(spark, sf_dir)
+
+
+# Order of words, characters of two units.
+
+
+_CASED = "SELECT l_orderkey * 10 + l_linenumber AS edge_ord, 's' || l_suppkey % 40 AS src, ['n', 'N', 'm', 'Mn', 'mN', 'mn'][1 + l_partkey % 6] || l_partkey % 10 AS dst FROM lineitem"
+
+
+@_query(f"SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY lower(dst), dst DESC, edge_ord) AS n FROM ({_CASED})")
+def edge_order_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in small and capital letters: letters come before case, small before capital."""
+    edges = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as edge_ord", "concat('s', l_suppkey % 40) as src", "concat(element_at(array('n', 'N', 'm', 'Mn', 'mN', 'mn'), int(l_partkey % 6) + 1), l_partkey % 10) as dst")
+    return P.ranked_edges(edges).withColumn("n", F.col("n").cast("long"))
+
+
+@_query("""SELECT p_partkey, CASE WHEN e + 2 * m > 80 THEN repeat('x', e) || repeat('😀', (77 - e) // 2) || (CASE WHEN (77 - e) % 2 = 1 THEN chr(65533) ELSE '' END) || '...' ELSE repeat('x', e) || repeat('😀', m) END AS short
+    FROM (SELECT p_partkey, (p_size % 2)::INT AS e, (p_partkey % 70)::INT AS m FROM part)""")
+def signature_truncate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("concat(repeat('x', p_size % 2), repeat('😀', int(p_partkey % 70)))")
+    return table(spark, sf_dir, "part").select("p_partkey", X.truncate(text, 80).alias("short"))
+
+
+@_query(_theta(_NESTED))
+def interval_nesting_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of the sweep, by the join that defines nesting."""
+    return I.nesting(_spans(spark, sf_dir, "l_linenumber div 2", "100 - l_linenumber div 2")).select("path", "ord", "nesting")
+
+
+# The tools, over files and repositories.
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    """The files of the first 150 parts, which have all languages, and files that don't count, in a folder."""
+    root = corpus.work_dir(spark)
+    rows = source_files(spark, sf_dir).where("file_ord <= 150").select("path", "content").collect()
+    corpus.lay_out(root, [tuple(r) for r in rows] + [("src/notes.txt", "x"), ("src/.hidden.go", "package p\n"), ("other/z.go", "package p\nfunc Z() {}\n")])
+    return root
+
+
+_FIRST = f"SELECT * FROM ({_PART}) WHERE k <= 150"
+
+
+@_query(f"SELECT path, {_SIGNATURE} AS signature FROM ({_FIRST}) WHERE language <> 'rust'")
+def tool_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of files that globs find, one pattern taking matches of another away."""
+    return api.peek(spark, ["src/**/*", "!**/*.rs"], _tree(spark, sf_dir)).select("path", F.explode("signatures").alias("signature"))
+
+
+@_query(f"SELECT * FROM ({_METRICS}) WHERE path IN (SELECT path FROM ({_FIRST}))")
+def tool_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.metrics(spark, "src/**/*", _tree(spark, sf_dir)).rows
+
+
+@_query(f"""SELECT total_nloc, total_hours, {_fixed2("total_hours / 8")} AS total_days FROM (SELECT sum(nloc)::BIGINT AS total_nloc, {_fixed2("sum(estimated_hours)")} AS total_hours FROM ({_METRICS}) WHERE path IN (SELECT path FROM ({_FIRST})))""")
+def tool_metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.metrics(spark, ["src/*.{sol,go,rs,cpp,java,cairo,compact,move,nr,tolk,masm,js,ts,tsx,flow}"], _tree(spark, sf_dir)).summary
+
+
+@_query(f"SELECT path, row_number() OVER (ORDER BY first, path) AS place FROM (SELECT path, min(path) OVER (PARTITION BY language) AS first FROM ({_FIRST}))")
+def tool_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language after language by their first file."""
+    return S.read(spark, "src/**/*", _tree(spark, sf_dir)).select("path", F.row_number().over(W.orderBy("file_ord")).cast("long").alias("place"))
+
+
+@_query(_METRICS)
+def written_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics written as JSON and read again."""
+    path = f"{corpus.work_dir(spark)}/metrics"
+    with api.scope():
+        rows = file_metrics(spark, sf_dir)
+        S.write(rows, path, "json")
+    return spark.read.schema(rows.schema).json(path)
+
+
+@_query("""SELECT 'N' || n_nationkey || '.own' || n_nationkey || '()' AS root, 'N' || n_nationkey || '.own' || n_nationkey || '() -> N' || (n_nationkey // 2) || '.base' || (n_nationkey // 2) || '()' AS path, 1::BIGINT AS rank FROM nation""")
+def tool_execution_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = corpus.work_dir(spark)
+    corpus.lay_out(root, [tuple(r) for r in inheriting_files(spark, sf_dir).select("path", "content").collect()])  # 25 files
+    return api.execution_paths(spark, "**/*.sol", root).select("root", "path", "rank")
+
+
+_CHANGES = """SELECT n_nationkey AS n, 'n' || lpad(n_nationkey::VARCHAR, 2, '0') || ['', '.sol', '.go', '.rs'][1 + n_nationkey % 4] AS path, ['', 'modified', 'deleted', 'added'][1 + n_nationkey % 4] AS status FROM nation WHERE n_nationkey % 4 > 0"""
+
+
+@_query(f"""SELECT path, status, CASE status WHEN 'modified' THEN '--- a/' || path || '|+++ b/' || path || '|@@ -1,6 +1,8 @@| contract N' || n || ' {{|   function a' || n || '() public {{|-    x = 1;|+    if (y) {{|+      x = 2;|+    }}|   }}|-  function old' || n || '() public {{}}|+  function new' || n || '() public {{}}| }}'
+    WHEN 'deleted' THEN '--- a/' || path || '|+++ b//dev/null|@@ -1,5 +0,0 @@|-package p|-|-func Gone' || n || '(a int) {{|-' || chr(9) || 'println(a)|-}}'
+    ELSE '--- a//dev/null|+++ b/' || path || '|@@ -0,0 +1,4 @@|+pub fn fresh' || n || '(b: u8) -> u8 {{|+    // note|+    b + 1|+}}' END AS diff FROM ({_CHANGES})""")
+def tool_diff_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = api.diff(spark, "main~1", "main", cwd=corpus.repository(spark, sf_dir))
+    return found.select("path", "status", F.translate("diff", "\n", "|").alias("diff"))
+
+
+@_query(f"""SELECT path, status, CASE status WHEN 'modified' THEN 'function new' || n || '() public' WHEN 'added' THEN 'pub fn fresh' || n || '(b: u8) -> u8' ELSE '' END AS added,
+    CASE status WHEN 'modified' THEN 'function a' || n || '() public' ELSE '' END AS modified, CASE status WHEN 'modified' THEN 'function old' || n || '() public' WHEN 'deleted' THEN 'func Gone' || n || '(a int)' ELSE '' END AS removed FROM ({_CHANGES})""")
+def tool_diff_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = api.diff(spark, "main~1", "main", output="signatures", cwd=corpus.repository(spark, sf_dir))
+    return found.select("path", "status", *(F.array_join(c, "|").alias(c) for c in ("added", "modified", "removed")))
+
+
+@_query(f"""SELECT path, language, status, added_lines, removed_lines, diff_nloc, diff_complexity, density AS comment_density, {_hours("diff_nloc", "cx", "density")} AS estimated_hours FROM (
+    SELECT *, CASE status WHEN 'modified' THEN 'solidity' WHEN 'deleted' THEN 'go' ELSE 'rust' END AS language, CASE status WHEN 'deleted' THEN 0 ELSE 4 END::BIGINT AS added_lines, CASE status WHEN 'modified' THEN 2 WHEN 'deleted' THEN 5 ELSE 0 END::BIGINT AS removed_lines,
+      CASE status WHEN 'modified' THEN 4 WHEN 'deleted' THEN 0 ELSE 3 END::BIGINT AS diff_nloc, CASE status WHEN 'modified' THEN 3 ELSE 0 END::BIGINT AS diff_complexity, CASE status WHEN 'added' THEN 33.33 ELSE 0 END::DOUBLE AS density, CASE status WHEN 'modified' THEN 75 ELSE 0 END::DOUBLE AS cx
+    FROM ({_CHANGES})) JOIN {_DIM} USING (language)""")
+def tool_diff_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.diff_metrics(spark, "main~1", "main", cwd=corpus.repository(spark, sf_dir)).rows
+
+
+@_query(f"SELECT status, count(*)::BIGINT AS files FROM ({_CHANGES}) GROUP BY status")
+def tool_diff_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.diff_metrics(spark, "main~1", "main", cwd=corpus.repository(spark, sf_dir)).by_status

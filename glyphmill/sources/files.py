@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import glob
 import os
 import re
@@ -69,7 +68,7 @@ def read_tree(spark: SparkSession, folder: str, name: str = "*") -> DataFrame:
     """All files under a folder of any file system whose names match, listed by Spark in parallel; for corpora that are too many to list on the driver."""
     suffixes = sorted({e for x in REGISTRY.values() for e in x.extensions})
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{name}.{{{','.join(suffixes)}}}")
-    return route(reader.load(folder).select("path", F.col("content").cast("string").alias("content")))
+    return ordered(route(reader.load(folder).select("path", F.col("content").cast("string").alias("content"))))
 
 
 def from_rows(spark: SparkSession, rows: Iterable[tuple[str, str]]) -> DataFrame:
@@ -81,9 +80,8 @@ def from_rows(spark: SparkSession, rows: Iterable[tuple[str, str]]) -> DataFrame
     return placed.select("path", "content", "language", "file_ord")
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    rows.write.json(path)
-
-
-def matches(path: str, patterns: Iterable[str]) -> bool:
-    return any(fnmatch.fnmatch(path, p) for p in patterns)
+def write(rows: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists") -> None:
+    """The result of a tool under ``path``: one file for each partition, as parquet or json; ``mode`` as of Spark's writers."""
+    if kind not in ("parquet", "json"):
+        raise ValueError(f"kind is parquet or json, not {kind}")
+    rows.write.mode(mode).format(kind).save(path)

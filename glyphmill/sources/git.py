@@ -37,10 +37,60 @@ def merge_base(base: str, head: str, cwd: str = ".") -> str:
     return _git(cwd, "merge-base", commit(base, cwd), commit(head, cwd)).decode().strip()
 
 
-def diff_text(base: str, head: str = "HEAD", paths: Iterable[str] = (), cwd: str = ".") -> str:
-    """The diff from where the two parted to the head."""
-    out = _git(cwd, "-c", "core.quotePath=false", "diff", "--no-color", "--no-ext-diff", f"{commit(base, cwd)}...{commit(head, cwd)}", "--", *paths)
-    return out.decode("utf-8", "replace")
+def changed_files(base: str, head: str = "HEAD", paths: Iterable[str] = (), cwd: str = ".") -> tuple[str, str, list[tuple[str, str | None]]]:
+    """Where the two parted, the head, and (path, its old path if it was renamed or copied) of all that changed, in git's order. No contents are read into memory."""
+    old, new = merge_base(base, head, cwd), commit(head, cwd)
+    fields = iter(_git(cwd, "diff", "--name-status", "--no-ext-diff", "-z", old, new, "--", *paths).decode("utf-8", "surrogateescape").split("\0"))
+    found = []
+    for status in fields:
+        if status:
+            first = next(fields)
+            found.append((next(fields), first) if status[0] in "RC" else (first, None))
+    return old, new, found
+
+
+def diffs(spark: SparkSession, base: str, head: str = "HEAD", paths: Iterable[str] = (), cwd: str = ".") -> DataFrame:
+    """``FILE_DIFFS`` from where the two parted to the head.
+
+    The driver lists paths; executors have git make the diff of some files at a time, so ``cwd`` must be a repository, or a copy of it, that all of them see.
+    """
+    old, new, found = changed_files(base, head, paths, cwd)
+    at = os.path.abspath(cwd)
+    names = [(k, p.encode("utf-8", "surrogateescape"), q and q.encode("utf-8", "surrogateescape")) for k, (p, q) in enumerate(found)]
+    rows = _spread(spark.createDataFrame(names, "file_ord long, path binary, old binary"), len(names))
+
+    def parts(ask: list[bytes], *options: str) -> list[str]:
+        spec = b"\0".join(b":(literal,top)" + a for a in ask)
+        out = subprocess.run(
+            ["git", "-c", "core.quotePath=false", "diff", "--no-color", "--no-ext-diff", *options, old, new, "--", *(os.fsdecode(x) for x in spec.split(b"\0"))], cwd=at, capture_output=True
+        )
+        if out.returncode:
+            raise GitError(out.stderr.decode("utf-8", "replace").strip())
+        return split_files(out.stdout.decode("utf-8", "replace"))
+
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            plain = frame[frame["old"].isna()].sort_values("path")
+            for a in range(0, len(plain), 64):
+                some = plain.iloc[a : a + 64]
+                got = parts(list(some["path"]), "--no-renames")
+                if len(got) != len(some):  # a file that became a link, say, has two parts
+                    got = ["".join(parts([p], "--no-renames")) for p in some["path"]]
+                yield _parsed(zip(some["file_ord"], got))
+            for _, r in frame[frame["old"].notna()].iterrows():
+                yield _parsed([(r["file_ord"], "".join(parts([r["old"], r["path"]], "-M", "-C", "-l0")))])
+
+    return rows.mapInPandas(made, FILE_DIFFS)
+
+
+def _spread(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, n of them, in tasks of a few each."""
+    return rows.repartition(max(1, min(n, -(-n // 64) + rows.sparkSession.sparkContext.defaultParallelism - 1)), rows.columns[0])
+
+
+def _parsed(parts: Iterable[tuple[int, str]]) -> pd.DataFrame:
+    found = [{"file_ord": k, **parse_file(p)} for k, p in parts]
+    return pd.DataFrame(found, columns=["file_ord", "type", "old_path", "new_path", "hunks"])
 
 
 def split_files(text: str) -> list[str]:
@@ -103,49 +153,56 @@ def parse_file(part: str) -> dict:
 
 
 def parse_diffs(spark: SparkSession, text: str) -> DataFrame:
-    """``FILE_DIFFS`` of the text of a diff."""
+    """``FILE_DIFFS`` of the text of a diff that is at hand."""
     parts = [(k, p) for k, p in enumerate(split_files(text))]
     rows = spark.createDataFrame(parts, "file_ord long, part string")
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [{"file_ord": k, **parse_file(p)} for k, p in zip(frame["file_ord"], frame["part"])]
-            yield pd.DataFrame(found, columns=["file_ord", "type", "old_path", "new_path", "hunks"])
+            yield _parsed(zip(frame["file_ord"], frame["part"]))
 
     return rows.mapInPandas(parse, FILE_DIFFS)
 
 
 def snapshots(spark: SparkSession, ref: str, paths: Iterable[str], cwd: str = ".") -> DataFrame:
-    """(path, content) of files at a revision; files that aren't there have no row. One process reads them all."""
-    names = list(dict.fromkeys(paths))
-    if not names:
-        return spark.createDataFrame([], "path string, content string")
-    at = commit(ref, cwd)
-    asked = "".join(f"{at}:{n}\n" for n in names if "\n" not in n).encode()
-    done = subprocess.run(["git", "cat-file", "--batch"], cwd=cwd, input=asked, capture_output=True)
-    if done.returncode:
-        raise GitError(done.stderr.decode("utf-8", "replace").strip())
-    out, place, rows = done.stdout, 0, []
-    for n in (n for n in names if "\n" not in n):
-        end = out.index(b"\n", place)
-        head = out[place:end].split(b" ")
-        place = end + 1
-        if head[-1] == b"missing":
-            continue
-        size = int(head[-1])
-        if head[-2] == b"blob":
-            rows.append((n, out[place : place + size].decode("utf-8", "replace")))
-        place += size + 1
-    return spark.createDataFrame(rows, "path string, content string")
+    """(path, content) of files at a revision; files that aren't there have no row.
+
+    Each task asks one git process for its files, so ``cwd`` must be a repository, or a copy of it, that all executors see.
+    """
+    names = [n for n in dict.fromkeys(paths) if "\n" not in n]
+    at, revision = os.path.abspath(cwd), commit(ref, cwd)
+    rows = _spread(spark.createDataFrame([(n,) for n in names], "path string"), len(names))
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            with subprocess.Popen(["git", "cat-file", "--batch"], cwd=at, stdin=subprocess.PIPE, stdout=subprocess.PIPE) as git:
+                for name in frame["path"]:
+                    git.stdin.write(f"{revision}:{name}\n".encode())
+                    git.stdin.flush()
+                    head = git.stdout.readline().split(b" ")
+                    if head[-1] == b"missing\n":
+                        continue
+                    if len(head) < 3:
+                        raise GitError(f"git has no answer for {revision}:{name}")
+                    body = git.stdout.read(int(head[-1]) + 1)[:-1]
+                    if head[-2] == b"blob":
+                        yield pd.DataFrame({"path": [name], "content": [body.decode("utf-8", "replace")]})
+                git.stdin.close()
+
+    return rows.mapInPandas(read, "path string, content string")
 
 
 def working_tree(spark: SparkSession, paths: Iterable[str], cwd: str = ".") -> DataFrame:
-    """(path, content) of files as they lie on the driver now; files that aren't there have no row."""
-    rows = []
-    for name in dict.fromkeys(paths):
-        try:
-            with open(os.path.join(cwd, name), "rb") as source:
-                rows.append((name, source.read().decode("utf-8", "replace")))
-        except OSError:
-            continue
-    return spark.createDataFrame(rows, "path string, content string")
+    """(path, content) of files as they lie in ``cwd`` now, which all executors must see; files that aren't there have no row."""
+    names, at = list(dict.fromkeys(paths)), os.path.abspath(cwd)
+    rows = _spread(spark.createDataFrame([(n,) for n in names], "path string"), len(names))
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for name in (n for frame in frames for n in frame["path"]):
+            try:
+                with open(os.path.join(at, name), "rb") as source:
+                    yield pd.DataFrame({"path": [name], "content": [source.read().decode("utf-8", "replace")]})
+            except OSError:
+                continue
+
+    return rows.mapInPandas(read, "path string, content string")

@@ -16,12 +16,19 @@ from pyspark.sql import DataFrame
 
 from ..languages import REGISTRY, Language
 
-#: A row is a fact; columns that a fact doesn't have are null.
+#: A row is a fact; columns that a fact doesn't have are null. ``depth`` is the number of branches around a branch, and 1 for a construct
+#: in another one; ``rows`` are the rows that a comment covers and none before it does, ``bare_rows`` those of them that are comment alone.
 FACTS = (
     "path string, language string, fact string, ord long, kind string, name string, start_idx long, end_idx long, start_row long,"
-    " start_col long, end_row long, body_idx long, body_row long, text string, owner string, owner_kind string, names array<string>, libs array<string>, fn_ord long"
+    " start_col long, end_row long, body_idx long, body_row long, text string, owner string, owner_kind string, names array<string>, libs array<string>, fn_ord long,"
+    " depth long, rows long, bare_rows long"
 )
 _NAMES = [x.split()[0] for x in FACTS.split(",")]
+#: White space as in ``functions.expressions``, and what makes a row of comment alone.
+_SPACE = "[\\s\\x0b\\xa0\\ufeff\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_BARE = re.compile(_SPACE.replace("\\s", " \\t\\n\\x0b\\f\\r") + r"*(?://|/\*|\*|#)")
+#: A batch of facts is sent on when it has so many rows or so many characters of text.
+_BATCH_ROWS, _BATCH_TEXT = 20_000, 4 << 20
 _KIND = {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}
 _SCHEMA = pa.schema([(n, _KIND[t]) for n, t in (x.split() for x in FACTS.split(","))])
 
@@ -32,14 +39,11 @@ _NOT_CALLS = frozenset(
     " abort repeat select go defer get mapping address".split()
 ) - {"get", "address", "super"}
 _MODIFIERS = frozenset("public private protected static async get set readonly override abstract final declare export default accessor".split())
-_GO_BUILTINS = frozenset("append cap clear close complex copy delete imag len make max min new panic print println real recover".split())
-_SOLIDITY_BUILTINS = frozenset("require assert revert emit".split())
-_YUL = frozenset("if for switch case default let function leave break continue".split())
 
 
-@lru_cache(32)
-def _lexer(name: str) -> re.Pattern[str]:
-    language = REGISTRY[name]
+@lru_cache(64)
+def _lexer(language: Language) -> re.Pattern[str]:
+    name = language.name
     js = name in ("javascript", "typescript", "tsx", "flow")
     parts = [f"(?P<comment>{'|'.join(re.escape(x) + '[^\\n]*' for x in language.line)}" + (r"|/\*" if language.block else "") + ")"]
     if name == "cpp":
@@ -74,12 +78,21 @@ class Source:
         self.pair: dict[int, int] = {}
         #: For each token the number of braces around it.
         self.depth: list[int] = []
+        #: The innermost brace around each token, -1 if there is none, and for braces whether a type's members are in it.
+        self.brace: list[int] = []
+        self._types: dict[int, bool] = {-1: False}
         stack: list[int] = []
-        depth = 0
+        depth, braces = 0, [-1]
         for i, (kind, t, _, _) in enumerate(self.tokens):
-            depth -= kind == "op" and t == "}"
+            if kind == "op" and t == "}":
+                depth -= 1
+                if len(braces) > 1:
+                    braces.pop()
             self.depth.append(depth)
-            depth += kind == "op" and t == "{"
+            self.brace.append(braces[-1])
+            if kind == "op" and t == "{":
+                depth += 1
+                braces.append(i)
             if kind == "op" and t in _OPEN:
                 stack.append(i)
             elif kind == "op" and t in _CLOSE:
@@ -90,7 +103,7 @@ class Source:
                     self.pair[i], self.pair[j] = j, i
 
     def _lex(self) -> None:
-        match, at, text, n = _lexer(self.language.name).search, 0, self.text, len(self.text)
+        match, at, text, n = _lexer(self.language).search, 0, self.text, len(self.text)
         while at < n and (m := match(text, at)):
             kind, start, at = m.lastgroup, m.start(), m.end()
             if kind == "comment":
@@ -378,26 +391,51 @@ class Source:
         return i
 
     def _headed_functions(self) -> Iterator[dict]:
-        java, end = self.language.name == "java", -1
-        i = 0
-        while i < len(self.tokens):
-            if self.is_(i, "(") and i > 0 and self.tokens[i - 1][0] == "word" and self.tokens[i - 1][1] not in _NOT_CALLS and i - 1 > end:
-                k = self.after(i)
-                while k < len(self.tokens) and (self.word(k) in ("const", "noexcept", "override", "final", "throws", "volatile", "mutable") or self.is_(k, "->", "&", "&&") or (self.word(k) and (self.is_(k - 1, "throws", "->", "::", ",", ".")))) or self.is_(k, "::", ".") or (java and self.is_(k, ",")):
-                    k += 1
-                if not java and self.is_(k, ":"):
-                    k += 1
-                    while k < len(self.tokens) and not (self.is_(k, "{") and not self.tokens[k - 1][0] == "word") and not self.is_(k, ";"):
-                        k = self.after(k)
-                head = self._head_start(i - 1)
-                plain = self._plain(head, i - 2)
-                if self.is_(k, "{") and plain and (not java or self._in_type(i)):
-                    end = self.pair.get(k, len(self.tokens) - 1)
-                    yield {"kind": "method" if java else "function", "name": self.tokens[i - 1][1], "s": head, "e": end, "body": k, "params": i}
-                    i = k if java else k
-                elif java and self.is_(k, ";") and plain and head < i - 1 and self._in_type(i):
-                    yield {"kind": "method", "name": self.tokens[i - 1][1], "s": head, "e": k, "body": None, "params": i}
-            i += 1
+        java, end, n = self.language.name == "java", -1, len(self.tokens)
+        for i in range(1, n):
+            if not self.is_(i, "("):
+                continue
+            operator = None if java else self._operator(i)
+            at = i - 1 if operator is None else operator
+            name = self.word(at)
+            if name is None or operator is None and (name in _NOT_CALLS or java and name == "synchronized" or self.word(at - 1) == "record"):
+                continue
+            inside = self._in_type(i)
+            if java and self.is_(at - 1, "{", "}", ";", ",") and name != self._type_name(self.brace[i]):
+                continue  # without a type before it only a constructor is a function; others are constants of an enum
+            if at <= end and not inside or java and not inside:  # within a function only members of types are functions
+                continue
+            k = self.after(i)
+            while k < n and (self.word(k) in ("const", "noexcept", "override", "final", "throws", "volatile", "mutable") or self.is_(k, "->", "&", "&&") or (self.word(k) and (self.is_(k - 1, "throws", "->", "::", ",", ".")))) or self.is_(k, "::", ".") or (java and self.is_(k, ",")):
+                k += 1
+            if not java and self.is_(k, ":"):
+                k += 1
+                while k < n and not (self.is_(k, "{") and not self.tokens[k - 1][0] == "word") and not self.is_(k, ";"):
+                    k = self.after(k)
+            head = self._head_start(at)
+            if not self._plain(head, at - 1):
+                continue
+            kind = "method" if java else "function"
+            if operator is not None:
+                name = "".join(self.text[self.tokens[operator][2] : self.tokens[i - 1][3]].split()) if not self.word(i - 1) or i - 1 == operator else " ".join(self.text[self.tokens[operator][2] : self.tokens[i - 1][3]].split())
+            if self.is_(k, "{"):
+                end = max(end, self.pair.get(k, n - 1))
+                yield {"kind": kind, "name": name, "s": head, "e": self.pair.get(k, n - 1), "body": k, "params": i}
+            elif java and self.is_(k, ";") and head < at and (self.word(at - 1) or self.is_(at - 1, ">", "]")):
+                yield {"kind": kind, "name": name, "s": head, "e": k, "body": None, "params": i}
+            elif not java and self.is_(k, "=") and self.word(k + 1) in ("default", "delete") and self.is_(k + 2, ";"):
+                yield {"kind": kind, "name": name, "s": head, "e": k + 2, "body": None, "params": i}
+
+    def _operator(self, i: int) -> int | None:
+        """The word operator of the function whose parameters begin at i."""
+        k = i - 1
+        if self.is_(k, ")", "]") and self.pair.get(k) == k - 1:
+            return k - 2 if self.is_(k - 2, "operator") else None
+        while k >= max(0, i - 8) and not self.is_(k, ";", "{", "}", ",", *_OPEN, *_CLOSE):
+            if self.is_(k, "operator"):
+                return k if k < i - 1 else None
+            k -= 1
+        return None
 
     def _plain(self, head: int, k: int) -> bool:
         """No assignment, call chain or expression between the start of a declaration and the name of its function."""
@@ -408,17 +446,43 @@ class Source:
         return True
 
     def _in_type(self, i: int) -> bool:
-        """Whether the brace around i is that of a class, interface, enum or record."""
-        k = i - 1
-        while k >= 0:
-            if self.is_(k, *_CLOSE):
-                k = self.pair.get(k, k) - 1
-                continue
-            if self.is_(k, "{"):
-                head = self._head_start(k)
-                return any(self.word(x) in ("class", "interface", "enum", "record", "new") for x in range(head, k))
+        """Whether the brace around i is that of a class, interface, enum or record, of an anonymous class or of a constant of an enum."""
+        brace = self.brace[i]
+        if brace not in self._types:
+            self._types[brace] = self._of_type(brace)
+        return self._types[brace]
+
+    def _heads(self, brace: int, *words: str) -> int | None:
+        """The token before the brace that is one of the words."""
+        k = self._head_start(brace)
+        while k < brace:
+            if self.word(k) in words and not self.is_(k - 1, "."):
+                return k
+            k = self.after(k)
+        return None
+
+    def _type_name(self, brace: int) -> str | None:
+        k = self._heads(brace, "class", "interface", "enum", "record") if brace >= 0 else None
+        return None if k is None else self.word(k + 1)
+
+    def _of_type(self, brace: int) -> bool:
+        if self.js:  # a class or an object; other braces are blocks
+            return self._heads(brace, "class") is not None or not (self.is_(brace - 1, ")", "=>", "else", "do", "try", "finally") or brace == 0)
+        if self._heads(brace, "class", "interface", "enum", "record", "struct", "union") is not None:
+            return True
+        if self.language.name != "java":
+            return False
+        k = brace - 1
+        if self.is_(k, ")"):
+            k = self.pair.get(k, k) - 1
+        around = self.brace[brace]
+        if around >= 0 and self._heads(around, "enum") is not None and self.word(k) and not any(self.is_(x, ";") and self.brace[x] == around for x in range(around, brace)):
+            return True
+        if not self.is_(brace - 1, ")"):
+            return False
+        while k > 0 and (self.word(k) not in (None, "new") or self.is_(k, ".", "<", ">", ",", "?", "@")):
             k -= 1
-        return False
+        return self.is_(k, "new")
 
     def _js_functions(self) -> Iterator[dict]:
         n = len(self.tokens)
@@ -450,14 +514,34 @@ class Source:
                     end -= self.is_(end, ";")
                 if body < n:
                     yield {"kind": "arrow_function", "name": None, "s": a, "e": end, "body": body, "params": None}
-            elif kind == "word" and t not in _NOT_CALLS and self.is_(self._generic_end(i + 1), "(") and (self.is_(i - 1, "{", "}", ";", ",", "*") or self.word(i - 1) in _MODIFIERS):
+            elif (first := self._member(i)) is not None:
                 params = self._generic_end(i + 1)
                 body = self._typed_body(self.after(params))
-                if self.is_(body, "{") and not self.is_(i - 1, "function"):
-                    s = i
+                if self.is_(body, "{"):
+                    s = first
                     while self.word(s - 1) in _MODIFIERS or self.is_(s - 1, "*"):
                         s -= 1
-                    yield {"kind": "method", "name": t, "s": s, "e": self.pair.get(body, n - 1), "body": body, "params": params}
+                    name = self.text[self.tokens[first][2] : self.tokens[i][3]]
+                    yield {"kind": "method", "name": name, "s": s, "e": self.pair.get(body, n - 1), "body": body, "params": params}
+
+    def _member(self, i: int) -> int | None:
+        """The first token of the name that ends at i, if a method may have it: a word, one behind a hash, a literal or an expression in brackets."""
+        kind, t, _, _ = self.tokens[i]
+        if not self.is_(self._generic_end(i + 1), "("):
+            return None
+        first = i
+        if kind == "op":
+            if t != "]" or i not in self.pair:
+                return None
+            first = self.pair[i]
+        elif kind == "word":
+            private = self.is_(i - 1, "#") and self.tokens[i - 1][3] == self.tokens[i][2]
+            if t in _NOT_CALLS and t != "constructor" and not private:
+                return None
+            first -= private
+        if first == 0 or not self._in_type(first) or not (self.is_(first - 1, "{", "}", ";", ",", "*") or self.word(first - 1) in _MODIFIERS):
+            return None
+        return first
 
     def _typed_body(self, k: int) -> int:
         if self.is_(k, ":"):
@@ -536,16 +620,34 @@ def _span(src: Source, s: int, e: int) -> dict:
     return {"start_idx": a, "end_idx": b, "start_row": row, "start_col": a - src.starts[row], "end_row": src.row(max(a, b - 1))}
 
 
-def scan(path: str, name: str, text: str) -> Iterator[dict]:
+def _nested(spans: list[tuple[int, int, int | None]]) -> list[int]:
+    """For each (start, end, body), in the order of starts and of falling ends, how many strictly contain it; one with a body only what begins before that."""
+    out: list[int] = []
+    open_: list[tuple[int, int, int]] = []
+    for start, end, body in spans:
+        open_ = [x for x in open_ if x[1] > start]
+        out.append(sum(e >= end and (s < start or e > end) and start < b for s, e, b in open_))
+        open_.append((start, end, end + 1 if body is None else body))
+    return out
+
+
+def scan(path: str, language: str | Language, text: str) -> Iterator[dict]:
     """The facts of a file: comment, branch, norm, function, container, call."""
-    src = Source(text, REGISTRY[name])
+    language = REGISTRY[language] if isinstance(language, str) else language
+    src, name, covered = Source(text, language), language.name, -1
     for k, (a, b) in enumerate(src.comments):
-        yield {"fact": "comment", "ord": k, "start_idx": a, "end_idx": b, "start_row": src.row(a), "end_row": src.row(max(a, b - 1))}
-    for k, (kind, a, b) in enumerate(sorted(src.branches(), key=lambda x: (x[1], -x[2]))):
-        yield {"fact": "branch", "ord": k, "kind": kind, "start_idx": a, "end_idx": b, "start_row": src.row(a), "end_row": src.row(max(a, b - 1))}
+        first, last = src.row(a), src.row(max(a, b - 1))
+        own = range(max(first, covered + 1), last + 1)
+        bare = sum(bool(_BARE.match(text, src.starts[r], src.starts[r + 1] if r + 1 < len(src.starts) else len(text))) for r in own)
+        covered = max(covered, last)
+        yield {"fact": "comment", "ord": k, "start_idx": a, "end_idx": b, "start_row": first, "end_row": last, "rows": len(own), "bare_rows": bare}
+    branches = sorted(src.branches(), key=lambda x: (x[1], -x[2]))
+    for k, ((kind, a, b), depth) in enumerate(zip(branches, _nested([(a, b, None) for _, a, b in branches]))):
+        yield {"fact": "branch", "ord": k, "kind": kind, "start_idx": a, "end_idx": b, "start_row": src.row(a), "end_row": src.row(max(a, b - 1)), "depth": depth}
     functions = src.functions()
     containers = list(_containers(src))
     defined = {f["params"] for f in functions if f.get("params") is not None}
+    norms: list[dict] = []
     for k, f in enumerate(functions):
         span = _span(src, f["s"], f["e"])
         body = f["body"]
@@ -556,13 +658,14 @@ def scan(path: str, name: str, text: str) -> Iterator[dict]:
         inner = max(owner, key=lambda c: c["body"], default=None)
         f["ord"] = k
         yield span | {"fact": "function", "ord": k, "text": raw, "owner": inner and inner["name"], "owner_kind": inner and inner["kind"], "names": _params(src, f), "libs": [_visibility(src, f), _receiver(src, f), *_reach(src, f, owner)]}
-        like = src.language.functionlike and body_idx is not None
-        yield span | {"fact": "norm", "ord": k, "kind": "function", "name": f["name"], "body_idx": body_idx if like else None, "body_row": span["body_row"] if like else None}
+        like = language.functionlike and body_idx is not None
+        norms.append(span | {"fact": "norm", "ord": k, "kind": "function", "name": f["name"], "body_idx": body_idx if like else None, "body_row": span["body_row"] if like else None})
     calls = list(src.calls(defined)) if name != "masm" else []
-    for k, (s, _, e) in enumerate(calls):
-        yield _span(src, s, e) | {"fact": "norm", "ord": 10_000_000 + k, "kind": "call"}
-    for k, (kind, s, e) in enumerate(src.literals()):
-        yield _span(src, s, e) | {"fact": "norm", "ord": 20_000_000 + k, "kind": kind}
+    norms += [_span(src, s, e) | {"fact": "norm", "ord": 10_000_000 + k, "kind": "call"} for k, (s, _, e) in enumerate(calls)]
+    norms += [_span(src, s, e) | {"fact": "norm", "ord": 20_000_000 + k, "kind": kind} for k, (kind, s, e) in enumerate(src.literals())]
+    norms.sort(key=lambda x: (x["start_idx"], -x["end_idx"]))
+    for x, depth in zip(norms, _nested([(x["start_idx"], x["end_idx"], x.get("body_idx")) for x in norms])):
+        yield x | {"depth": min(depth, 1)}
     for k, c in enumerate(containers):
         yield _span(src, c["s"], c["e"]) | {"fact": "container", "ord": k, "kind": c["kind"], "name": c["name"], "names": c["parents"], "libs": c["libs"]}
     if name in ("solidity", "rust", "go"):
@@ -667,7 +770,7 @@ def _reach(src: Source, f: dict, owner: list[dict]) -> list[str | None]:
 
 
 def _call_sites(src: Source, functions: list[dict], calls: list[tuple[int, int, int]]) -> Iterator[dict]:
-    """Calls within each function, those of nested ones as well: kind, name, receiver in ``owner``."""
+    """Calls within each function, those of nested ones and of builtins as well: kind, name, receiver in ``owner``."""
     name = src.language.name
     assembly, macros = bytearray(len(src.tokens)), bytearray(len(src.tokens))
     if name == "solidity":
@@ -697,9 +800,7 @@ def _call_sites(src: Source, functions: list[dict], calls: list[tuple[int, int,
             generic = name == "rust" and src.is_(k + 1, "::")
             if name == "solidity":
                 if yul:
-                    kinds = [] if label in _YUL else ["assembly"]
-                elif label in _SOLIDITY_BUILTINS:
-                    kinds = []
+                    kinds = ["assembly"]
                 elif receiver == "super":
                     kinds = ["super"]
                 elif receiver == "this":
@@ -707,7 +808,7 @@ def _call_sites(src: Source, functions: list[dict], calls: list[tuple[int, int,
                 else:
                     kinds = ["member"] if receiver is not None else ["simple"]
             elif name == "go":
-                kinds = ["selector"] if receiver is not None else [] if label in _GO_BUILTINS else ["simple"]
+                kinds = ["selector"] if receiver is not None else ["simple"]
             elif receiver is None:
                 kinds = ["generic_simple" if generic else "simple"]
             elif src.is_(k - 1, "."):
@@ -720,20 +821,36 @@ def _call_sites(src: Source, functions: list[dict], calls: list[tuple[int, int,
 
 
 def scan_files(files: DataFrame) -> DataFrame:
-    """``FACTS`` of ``files`` (path, language, content). A file that can't be scanned has one fact, error, with the message as its text; a null content has none."""
+    """``FACTS`` of ``files`` (path, language, content) in the languages that are registered now.
+
+    A file that can't be scanned has one fact, error, with the message as its text; a null content has none. Facts of many files share a batch.
+    """
+    languages = dict(REGISTRY)  # goes to the executors, whose own registry knows nothing of what was registered here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, language, content in zip(*(c.to_pylist() for c in batch.columns)):
+        rows: list[dict] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([r.get(n) for r in rows], f.type) for n, f in zip(_NAMES, _SCHEMA)], schema=_SCHEMA)
+
+        for given in batches:
+            for path, language, content in zip(*(c.to_pylist() for c in given.columns)):
                 if content is None:
                     continue
+                about = {"path": path, "language": language}
                 try:
-                    rows = list(scan(path, language, content))
+                    found = [about | r for r in scan(path, languages[language], content)]
                 except Exception as problem:  # noqa: BLE001
-                    rows = [{"fact": "error", "ord": 0, "text": f"{type(problem).__name__}: {problem}"}]
-                for a in range(0, len(rows), 20_000):
-                    part = rows[a : a + 20_000]
-                    data = [[path] * len(part), [language] * len(part), *([r.get(n) for r in part] for n in _NAMES[2:])]
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(data, _SCHEMA)], schema=_SCHEMA)
+                    found = [about | {"fact": "error", "ord": 0, "text": f"{type(problem).__name__}: {problem}"}]
+                for r in found:
+                    rows.append(r)
+                    size += len(r.get("text") or "")
+                    if len(rows) >= _BATCH_ROWS or size >= _BATCH_TEXT:
+                        yield batch()
+                        rows.clear()
+                        size = 0
+        if rows:
+            yield batch()
 
     return files.select("path", "language", "content").where("language is not null").mapInArrow(run, FACTS)

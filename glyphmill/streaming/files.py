@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..caching import scope
 from ..languages import route
 from ..plans.api import metrics_of_files
 
@@ -21,6 +22,7 @@ def write_metrics(files: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     """Writes metrics of each batch as Parquet; a batch that is repeated after a failure replaces its own rows."""
 
     def one(batch: DataFrame, number: int) -> None:
-        metrics_of_files(batch).rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with scope():  # what the batch keeps doesn't outlast it
+            metrics_of_files(batch).rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

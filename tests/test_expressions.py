@@ -25,6 +25,8 @@ def test_text(spark):
     assert one(spark, X.clean_signature(F.lit("f(\n  uint a ,\n  uint b,\n )  public"))) == "f(uint a, uint b, ) public"
     assert [one(spark, X.truncate(F.lit("x" * n), 80)) for n in (80, 81)] == ["x" * 80, "x" * 77 + "..."]
     assert one(spark, X.utf16_length(F.lit("a🙂"))) == 3
+    assert one(spark, X.truncate(F.lit("🙂" * 45), 80)) == "🙂" * 38 + "\ufffd..." and one(spark, X.truncate(F.lit("x" + "🙂" * 45), 80)) == "x" + "🙂" * 38 + "..."
+    assert one(spark, X.truncate(F.lit("🙂" * 40), 80)) == "🙂" * 40
     assert one(spark, F.size(X.lines_of(F.lit("a\n\n")))) == 3
     lines = [("// a", True, True), ("  /* a", True, True), ("* a", True, True), ("# a", True, True), ("-- a", False, True), (";; a", False, True), ("x // a", False, False)]
     for line, whole, changed in lines:

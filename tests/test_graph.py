@@ -161,3 +161,41 @@ def test_order_of_edges_is_that_of_words(spark):
 def test_inheritance_with_cycles(spark):
     i = spark.createDataFrame([("a", "b", 0), ("b", "a", 0), ("b", "c", 1)], "child string, parent string, ord long")
     assert sorted((r.child, r.ancestor) for r in G.ancestors(i).collect()) == [("a", "b"), ("a", "c"), ("b", "a"), ("b", "c")]
+
+
+def test_twenty_thousand_functions_of_one_name(spark):
+    """A call meets one row for each rule, however many functions share its name."""
+    from pyspark.sql import functions as F
+
+    hot = spark.range(20_000).select(F.format_string("h%05d.go", "id").alias("path"), F.concat(F.lit("package p\nfunc (t *T"), "id", F.lit(") get() { t.get(); x.get(); get() }\n")).alias("content"), F.lit("go").alias("language"), F.col("id").alias("file_ord"))
+    with api.scope():
+        nodes, edges = G.call_graph(api.facts_of(hot), hot, "go")
+        assert nodes.count() == 20_000
+        # Each calls itself, which is no edge, and by simple calls the first of all.
+        assert edges.count() == 19_999 and edges.select("dst").distinct().first().dst == "T0.get"
+
+
+def test_nothing_stays_behind(spark):
+    """Limits of recursion and caches are as before, once the scope of a tool ends."""
+    kept = lambda: len(spark.sparkContext._jsc.getPersistentRDDs())
+    names = ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit")
+    before, limits = kept(), [spark.conf.get(n) for n in names]
+    with api.scope():
+        files = from_rows(spark, [("a.sol", "contract A { function f() public { g(); } }\ncontract B is A { function g() public { super.f(); } }")])
+        assert [r.path for r in api.execution_paths_of_files(files).orderBy("root").collect()] == ["A.f() -> B.g() -> A.f() (Recursive)", "B.g() -> A.f() -> B.g() (Recursive)"]
+        assert kept() > before
+    assert kept() == before and [spark.conf.get(n) for n in names] == limits
+
+
+def test_trees_of_files_have_an_order(spark, tmp_path):
+    from glyphmill.sources.files import read_tree, write
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.sol").write_text("contract A { function f() public { g(); } function g() internal {} }")
+    (tmp_path / "in" / "b.go").write_text("package p\nfunc F() { g() }\nfunc g() {}\n")
+    found = api.execution_paths_of_files(read_tree(spark, str(tmp_path / "in")))
+    write(found.select("root", "path"), str(tmp_path / "out"), "json")
+    assert sorted(r.path for r in spark.read.json(str(tmp_path / "out")).collect()) == ["A.f() -> A.g()", "F -> g"]
+    with pytest.raises(ValueError):
+        write(found, str(tmp_path / "other"), "text")
+    assert api.execution_paths_of_files(from_rows(spark, [("x.js", "function f() { f() }")])).collect() == []

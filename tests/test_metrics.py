@@ -91,7 +91,11 @@ def functions(language, text):
         ("go", "package p\ntype T struct { f func(int) int }\nfunc (t *T) M(a int) (b int) { switch x := v.(type) { case 1: } ; select { } ; for _, x := range []int{1, 2} { if x == 1 { } else if y { } } ; g := func() { } }\nfunc Top[K any](a K) {}", ["switch", "select", "for", "if", "if"], ["M", "Top"]),
         ("rust", "impl<T> Foo for Bar<T> { pub(crate) fn a(&self) -> Vec<T> where T: X { match x { 1 => loop { }, _ => {} } } }\ntrait Q { fn sig(&self); }\nfn b<'a>(s: &'a str) { while let Some(x) = it { if x == '{' { } } let r = r#\"}\"#; }", ["match", "loop", "while", "if"], ["a", "b"]),
         ("javascript", "export async function f(a) { if (a) return /}/.test(a); for (const x of y) z() }\nconst g = (a) => a ? 1 : 2\nclass A { static async m(x) { try { } catch (e) { } finally { } } get v() { while (1) { } } }\nconst h = async x => { do { } while (x) }", ["if", "for", "conditional", "try", "while", "do"], ["f", None, "m", "v", None]),
-        ("typescript", "class A { constructor(private a?: string) {} m<T>(x: T): T | null { switch (x) { } return x ?? null; } }\nconst f = (a: number): number => { return a; };", ["switch"], ["m", None]),
+        ("typescript", "class A { constructor(private a?: string) {} m<T>(x: T): T | null { switch (x) { } return x ?? null; } }\nconst f = (a: number): number => { return a; };", ["switch"], ["constructor", "m", None]),
+        ("javascript", "class A { constructor(x) { super(x); } #p(a) { foo(a)\n{ } } static async *gen() {} [Symbol.iterator]() { } 'q r'() {} get v() { return 1 } }\nconst o = { m() { }, [k](x) { }, n: function () { } }\nfoo(a)\n{ }", [], ["constructor", "#p", "gen", "[Symbol.iterator]", "'q r'", "v", "m", "[k]", None]),
+        ("tsx", "class A extends B<{ x: number }> { private constructor(private a: string) { super(a); } #x<T>(y: T): void {} abstract z(): void; }", [], ["constructor", "#x"]),
+        ("cpp", "struct A { A() = default; A& operator=(const A& o) { return *this; } bool operator==(const A& o) const { return true; } int operator()(int x) { return x; } int& operator[](int i) { return d[i]; } operator bool() const { return true; } void* operator new(size_t n) { return 0; } };\nstd::ostream& operator<<(std::ostream& o, const A& a) { return o; }\nint main() { struct L { int m() { return 1; } }; auto z = a.operator()(3); if (a == b) { } }", ["if"], ["A", "operator=", "operator==", "operator()", "operator[]", "operator bool", "operator new", "operator<<", "main", "m"]),
+        ("java", "class A { void f() { Runnable r = new Runnable() { public void run() { g(); } }; foo(new X<Y>(1, 2) { int z(int q) { return q; } }); synchronized (this) { h(); } run(() -> { int k = m(1); }); } record R(int x) { int y() { return x; } } @Test(expected = Foo.class) public void t() { u(); for (A a : b) { } } }\nenum E { P(1) { int v() { return 1; } }, Q(2); E(int x) { } abstract int v(); }", ["for"], ["f", "run", "z", "y", "t", "v", "E", "v"]),
         ("cairo", "#[external]\nfn f(x: u8) -> u8 { if x == 1 { loop { break; } } match x { _ => 0 } }", ["if", "loop", "match"], ["f"]),
         ("noir", "pub fn f(x: Field) { for i in 0..3 { if i == 1 { } } comptime { } }", ["for", "if", "comptime"], ["f"]),
         ("move", "module a::b { public entry fun f(x: u64) { if (x > 1) { abort 1 }; while (true) { break }; loop { } } }", ["if", "abort", "while", "loop"], ["f"]),
@@ -117,6 +121,37 @@ def test_definitions_collapse_where_bodies_have_no_name(spark):
     assert report.rows.first().nloc == 1
 
 
+def test_structure_of_facts_is_that_of_intervals(spark):
+    """Depths that the scanner gives are those of the joins on spans, and rows of comments are those that they cover."""
+    from glyphmill.sources.scanner import scan_files
+
+    files = from_rows(spark, [(p, c) for p, c, *_ in CASES] + [("x.ts", "const f = (a) => g(h([1, 2], { x: () => 1 })) ? 1 : k(2)\n/* a */ /* b\n c */ foo(); // d\n  * e"), ("y.java", "class A { int a() { return b(c(1), new D() { int e() { return f(2); } }); } }")])
+    facts = scan_files(files).persist()
+    of = lambda fact: facts.where(facts.fact == fact)
+    want = {(r.path, r.ord): r.nesting for r in I.nesting(of("branch").select("path", "ord", "start_idx", "end_idx")).collect()}
+    assert want == {(r.path, r.ord): r.depth for r in of("branch").collect()}
+    top = {(r.path, r.ord) for r in I.outermost(of("norm").select("path", "ord", "start_idx", "end_idx", "body_idx")).collect()}
+    assert top == {(r.path, r.ord) for r in of("norm").where("depth = 0").collect()} and top
+    covered = {(r.path, r.row) for r in I.rows_covered(of("comment")).collect()}
+    assert len(covered) == of("comment").agg({"rows": "sum"}).first()[0]
+    text = {r.path: r.content for r in files.collect()}
+    bare = sum(text[p].split("\n")[r].strip().startswith(("//", "/*", "*", "#")) for p, r in covered)
+    assert bare == of("comment").agg({"bare_rows": "sum"}).first()[0]
+    facts.unpersist()
+
+
+def test_registered_languages_reach_the_workers(spark):
+    from glyphmill import languages as L
+
+    zig = L.Language("zig", ("zig",), 300, 12, 9, 0.3, 0.6, 18, 0.3, branches=frozenset({"if", "while"}), function=("fn",), block=False)
+    L.register(zig)
+    try:
+        r = api.metrics_of_files(from_rows(spark, [("a.zig", "fn f(a: u8) void {\n  // note\n  if (a > 1) {\n    g();\n  }\n}"), ("b.go", GO)])).rows.where("language = 'zig'").first()
+        assert (r.nloc, r.complexity, r.lines_with_comments) == (5, 1, 1)
+    finally:
+        del L.REGISTRY["zig"]
+
+
 def test_unfinished_sources_do_not_break():
     for language in ("solidity", "go", "rust", "javascript", "cpp", "java", "masm", "move"):
         for text in ("{{{", "if (", "function f(", "fn f(", "func (", "/* open", '"open', "a ? b", "do", "else", "=>", "impl", "contract A is", "case x:", ")", "try {"):
@@ -127,3 +162,17 @@ def test_peek(spark):
     files = from_rows(spark, [("a.sol", SPLIT), ("b.go", "package p\nfunc (s *Srv) Go(x int) int { return x }\n"), ("c.rs", "struct A;")])
     got = {r.path: r.signatures for r in api.peek_files(files).collect()}
     assert got == {"a.sol": ["function long(uint256 one, address two) public returns (uint256)"], "b.go": ["func (s *Srv) Go(x int) int"]}
+
+
+def test_later_collections_have_their_say(spark):
+    a, b = (from_rows(spark, [(p, f"package p\nfunc {n}() {{}}\n") for p in paths]) for n, paths in (("A", ("x.go", "y.go")), ("B", ("y.go", "z.go"))))
+    assert {r.path: r.signatures for r in api.peek_files(a, b).collect()} == {"x.go": ["func A()"], "y.go": ["func B()"], "z.go": ["func B()"]}
+
+
+def test_depth_at_equals_counting(spark):
+    rng = random.Random(5)
+    points = [(f"p{rng.randrange(5)}", k, rng.randrange(40)) for k in range(300)] + [("p9", 1, 3), ("p1", 7, 5), ("p1", 7, 5)]
+    spans = [(f"p{rng.randrange(5)}", a, a + rng.randrange(-1, 15)) for a in (rng.randrange(40) for _ in range(120))]
+    got = I.depth_at(spark.createDataFrame(points, "path string, ord long, row long"), spark.createDataFrame(spans, "path string, start_row long, end_row long"))
+    want = sorted((p, k, r, sum(q == p and a <= r <= b for q, a, b in spans)) for p, k, r in points)
+    assert sorted(map(tuple, got.collect())) == want
