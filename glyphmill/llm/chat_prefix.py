@@ -24,8 +24,10 @@ def expand_prefixes(
     ``<|end|>`` with a line break. Characters from ``train_start`` up to ``train_end``, the reply and its ``<|end|>``, are
     trained on, all others are context. Turns are ordered by number, ties by role and then text. A null role or text counts as
     empty; rows with a null conversation or turn have no place and are left out; repeated rows are turns of their own.
-    A conversation without such a turn has no row, and one that begins with it has an example without context. Other
-    columns are not read. The one shuffle is by conversation.
+    A conversation without such a turn has no row, and one that begins with it has an example without context; an empty table
+    gives no rows. Texts go in as they are, very long ones too: signs such as ``<|end|>`` or ``<|user|>`` in a text stay part of its turn, as the
+    offsets say, and don't end it; whoever encodes examples must take such signs as ordinary text, as ``byte_bpe`` does. Other
+    columns, of any name, are not read. The one shuffle is by conversation.
     """
     rows = pick(turns, conv_id=conv_id, turn=turn, role=role, text=text).select(
         "conv_id",

@@ -133,8 +133,9 @@ def schedule(
 
     The number of sources is that of the mixture and small; the documents of one are ranked in buckets, whose number
     grows with the corpus, so that a large source isn't one partition. A null source is a source of its own. Null ids
-    are placed like others; rows that share an id have places next to each other, in no given order. Other columns
-    are not read; an empty table gives no rows.
+    are placed like others; rows that share an id have places next to each other, in no given order. Texts and other columns, of any name,
+    are not read, so their length doesn't matter; an empty table gives no rows. The driver holds a row for each source, and for each
+    phase the slots of a period: sources are few beside documents.
     """
     rows = pick(docs, doc_id=doc_id, source=source)
     rows = rows.withColumn("key", _key("source")).withColumn("h", F.xxhash64("doc_id"))
@@ -153,7 +154,7 @@ def mix(
     text: str = "text",
     places: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """``docs`` in the order that ``schedule`` gives; every row and column is kept. Rows that share an id are ordered by text.
+    """``docs`` in the order that ``schedule`` gives; every row and column is kept, very long texts, nulls and columns of clashing names too. Rows that share an id are ordered by text.
 
     Partition after partition holds a range of slots, so files written from it have the order of training by their names.
     Spark reads files in another order, by size: what is to be had in order after that needs ``places``, the names under

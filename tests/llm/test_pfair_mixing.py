@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from fractions import Fraction
 
 from glyphmill.llm import pfair_mixing as P
 
@@ -54,3 +55,44 @@ def test_default_weights_follow_roots(spark):
     df = spark.createDataFrame([(i, "x" if i < 800 else "y") for i in range(1000)], "doc_id long, source string")
     got = P.schedule(df, block_docs=1).where("phase = 0 and slot < 90").groupBy("source").count().collect()
     assert {r["source"]: r["count"] for r in got} == {"x": 60, "y": 30}
+
+
+def naive(sizes, share, block_docs):
+    """Slot after slot, of the blocks that are released the one due first; (slot, source, block) of the whole schedule."""
+    left = {s: -(-n // block_docs) for s, n in sizes.items()}
+    done = dict.fromkeys(left, 0)
+    out, slot = [], 0
+    while any(left.values()):
+        active = {s: share[s] for s in left if left[s]}
+        q, start, begun = sum(active.values()), slot, dict(done)
+        while all(left[s] for s in active):
+            t = slot - start
+            due = []
+            for s, n in active.items():
+                k = done[s] - begun[s]
+                if Fraction(k * q, n) // 1 <= t:
+                    due.append((-(-(k + 1) * q // n), s))
+            _, s = min(due)
+            out.append((slot, s, done[s]))
+            done[s] += 1
+            left[s] -= 1
+            slot += 1
+    return out
+
+
+def test_schedule_is_that_of_going_from_slot_to_slot(spark):
+    rng = random.Random(6)
+    for sizes in ({"a": 97, "b": 40, "c": 5, "d": 1}, {"x": 200}, {s: rng.randrange(1, 60) for s in "pqrst"}):
+        names = [s for s, n in sizes.items() for _ in range(n)]
+        df = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
+        got = {(r.slot, r.source, r.block) for r in P.schedule(df, block_docs=3, resolution=100).collect()}
+        share = P.shares({f"s{s}": n**0.5 for s, n in sizes.items()}, 100)
+        assert got == {(slot, s[1:], k) for slot, s, k in naive({f"s{s}": n for s, n in sizes.items()}, share, 3)}
+
+
+def test_very_long_texts_are_moved_whole(spark):
+    rows = [(i, f"{i} " * (200_000 if i % 10 == 0 else 1), "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = P.mix(df, block_docs=2).collect()
+    assert sorted((r.doc_id, len(r.text)) for r in out) == [(i, len(t)) for i, t, _ in rows]
+    assert [r.doc_id for r in out] == [r.doc_id for r in P.schedule(df, block_docs=2).orderBy("slot", "place").collect()]

@@ -11,15 +11,18 @@ pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
 
 
 def test_stages_against_brute_force(spark):
+    import tiktoken
     from test_circulant_minhash import brute
+    from test_zstd_langid import brute as language
 
+    from glyphmill.llm import byte_bpe as B
     from glyphmill.llm import zstd_langid as Z
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = Z.fit_dictionaries(docs)
-    coder = Z.Coder(model, 6)
     rows = {r.doc_id: r for r in docs.collect()}
-    stay = {i for i, r in rows.items() if not coder.decide(r.text, 0.005)[4]}
+    found = {i: language(r.text, model) for i, r in rows.items()}
+    stay = {i for i, (_, rejected) in found.items() if not rejected}
     first = {}
     for i in sorted(stay):
         first.setdefault(rows[i].text, i)
@@ -30,7 +33,9 @@ def test_stages_against_brute_force(spark):
     got = out.collect()
     assert len(got) == len({r.doc_id for r in got})
     assert {r.doc_id for r in got} == stay
-    assert all(r.text == rows[r.doc_id].text and len(r.token_ids) == r.n_tokens for r in got)
+    assert all(r.text == rows[r.doc_id].text and r.lang == found[r.doc_id][0] for r in got)
+    other = tiktoken.Encoding("t", pat_str=B.PATTERN, mergeable_ranks={t: i for i, t in enumerate(B.read_ranks(B.VOCABULARY))}, special_tokens={})
+    assert all(list(r.token_ids) == other.encode_ordinary(r.text) and len(r.token_ids) == r.n_tokens for r in got)
 
 
 def test_every_stage_takes_an_empty_table(spark):

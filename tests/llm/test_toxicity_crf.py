@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -79,3 +80,57 @@ def test_labels_of_tables(spark):
     toxic = [r for r in rows if r.toxic == 1]
     assert sum(r.flag for r in toxic) >= 0.6 * len(toxic)
     assert sum(r.flag for r in rows if r.toxic == 0) <= 0.02 * len(rows)
+
+
+def test_words_count_at_full_length():
+    a, b = "x" * 50 + "a" + "y" * 9, "x" * 50 + "b" + "y" * 9
+    h = T.hash_words([a, b, "abc", "abcd", "abcde", "", "x" * 1_000_000, "x" * 999_999 + "z"])
+    assert h[0, 0] != h[1, 0] and (h[0, 1:] == h[1, 1:]).all()
+    assert h[6, 0] != h[7, 0] and h[6, 5] != h[7, 5] and (h[6, 1:5] == h[7, 1:5]).all()
+    assert h[2, 1] == 0 and h[3, 1] == 0 and h[4, 1] != 0 and not h[5].any()
+    glued = [("harmless" * 8) + tail for tail in ("nice", "ugly")]
+    texts = [f"w{i} {glued[i % 2]} w{i + 1}" for i in range(400)]
+    model = T.fit(texts, [i % 2 for i in range(400)])
+    assert [bool(s) for _, _, s in T.tag(model, pa.array(texts[:20]), 0.5)] == [bool(i % 2) for i in range(20)]
+
+
+def plain(model, text):
+    """Score and spans of a text, word by word: forward and backward sums over states in logarithms."""
+    tokens = [(m.start(), m.end(), m[0].lower().strip(T._EDGE)) for m in re.finditer(r"\S+", text or "")]
+    if not tokens:
+        return 0.0, []
+    at = T._buckets(T.hash_words([w for _, _, w in tokens]))
+    u = [float(model.own[a].sum(dtype=np.float64)) for a in at]
+    for k in range(len(u) - 1):
+        u[k + 1] += float(model.left[at[k, 0]])
+        u[k] += float(model.right[at[k + 1, 0]])
+    t, u = model.transition, np.clip(u, -30, 30)
+    ahead = [np.array([0.0, model.start + u[0]])]
+    for x in u[1:]:
+        ahead.append(np.logaddexp(ahead[-1][0] + t[0], ahead[-1][1] + t[1]) + [0, x])
+    back = [np.zeros(2)]
+    for x in u[:0:-1]:
+        nxt = back[0] + [0, x]
+        back.insert(0, np.logaddexp(t[:, 0] + nxt[0], t[:, 1] + nxt[1]))
+    p = [float(np.exp(a[1] + b[1] - np.logaddexp(*(a + b)))) for a, b in zip(ahead, back)]
+    spans, last = [], -2
+    for k, (a, b, _) in enumerate(tokens):
+        if p[k] >= 0.5:
+            if last == k - 1:
+                spans[-1][1] = b
+            else:
+                spans.append([a, b])
+            last = k
+    return 1 - float(np.prod([1 - min(x, 1 - 1e-9) for x in p if x >= T.LEAST_EVIDENCE])), spans
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_query_against_plain_sums(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = T.fit_from_labels(docs, labels)
+    some = docs.where("doc_id % 6 = 0")
+    text = {r.doc_id: r.text for r in some.collect()}
+    for r in T.score_documents(some, model).collect():
+        score, spans = plain(model, text[r.doc_id])
+        assert abs(r.score - score) < 1e-6 and [[s.start, s.end] for s in r.spans] == spans
+        assert r.toxic == (score >= 0.9 and bool(spans))

@@ -3,6 +3,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
+import zstandard
 
 from glyphmill.llm import zstd_langid as Z
 
@@ -55,3 +56,45 @@ def test_copies_do_not_fill_the_sample(spark):
     rows = [(t, "a") for t in texts for _ in range(100)] + [(t, "b") for t in texts]
     found = Z.fit_dictionaries(spark.createDataFrame(rows, "text string, lang string"), sample_docs=20)
     assert found["a"] == found["b"] and len(set(found["a"].split())) == 20
+
+
+def brute(text, dictionaries, piece=32768, least=0.005):
+    """Each piece compressed by itself under each dictionary, with a new compressor every time."""
+    if not text or not text.strip():
+        return None, True
+    data = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).encode()
+    sizes = []
+    for name, content in dictionaries.items():
+        total = 0
+        for a in range(0, len(data), piece):
+            parameters = zstandard.ZstdCompressionParameters.from_level(6, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False)
+            coder = zstandard.ZstdCompressor(compression_params=parameters, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            total += len(coder.compress(data[a : a + piece]))
+        sizes.append((total, name))
+    (best, name), (second, _) = sorted(sizes)[:2]
+    return name, (second - best) / best < least
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_against_compressing_one_by_one(spark):
+    docs = spark.read.parquet(str(SF)).where("doc_id % 5 = 0")
+    model = Z.fit_dictionaries(spark.read.parquet(str(SF)))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: (r.lang_id, r.rejected) for r in Z.identify_language(docs, model).collect()}
+    want = {i: brute(t, model) for i, t in text.items()}
+    assert {i: r for i, (_, r) in got.items()} == {i: r for i, (_, r) in want.items()}
+    assert {i: n for i, (n, r) in got.items() if not r} == {i: n for i, (n, r) in want.items() if not r}
+
+
+def test_pieces(spark):
+    """Texts of a piece, one byte less or more, and of many pieces, through Spark; sizes are those of the pieces in turn."""
+    words = "the cat and the dog went to the house of the king while "
+    model = {"de": b"der hund und die katze gingen in das haus", "en": b"the cat and the dog went to the house of the king"}
+    coder = Z.Coder(model, 6, 100)
+    whole = (words * 3)[:300]
+    assert coder.sizes(whole) == [sum(x) for x in zip(*(coder.sizes(whole[a : a + 100]) for a in (0, 100, 200)))]
+    rows = [(n, (words * 20_000)[:n]) for n in (99, 100, 101, 32767, 32768, 32769, 1_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for piece in (100, 32768):
+        got = {r.doc_id: r.best_bytes for r in Z.identify_language(df, model, piece_bytes=piece).collect()}
+        assert got == {n: Z.Coder(model, 6, piece).sizes(t)[1] for n, t in rows}
