@@ -10,7 +10,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import cut, id_and_text, slices, small
@@ -236,22 +235,19 @@ def near_duplicates(
     equal = signed.groupBy("mark").agg(F.min("doc_id").alias("rep"))
     alike = signed.select("mark", "doc_id").join(equal, "mark").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     one = signed.join(equal.select("mark", F.col("rep").alias("doc_id")), ["mark", "doc_id"], "left_semi")
-    sketch = F.struct("n", "bits").alias("s")
-    keyed = one.select("doc_id", sketch, F.explode("bands").alias("h"))
-    least = F.min(F.struct("doc_id", "s")).over(W.partitionBy("h")).alias("hub")
-    bucketed = keyed.select("doc_id", "h", "s", least, F.max("doc_id").over(W.partitionBy("h")).alias("top"))
-    bucketed = cut(bucketed.where("hub.doc_id <> top").dropDuplicates(["doc_id", "h", "s"]))
+    keyed = one.select("doc_id", F.explode("bands").alias("h"))
+    bucketed = keyed.selectExpr("doc_id", "h", "min(doc_id) over (partition by h) as hub", "max(doc_id) over (partition by h) as top")
+    bucketed = cut(bucketed.where("hub <> top").select("doc_id", "h", "hub").distinct())
     possible = _possible(bands * rows, threshold)
-    stars = bucketed.where("doc_id <> hub.doc_id").selectExpr(
-        "hub.doc_id as a", "doc_id as b", "hub.s.n as na", "s.n as nb", "hub.s.bits as xa", "s.bits as xb"
-    )
-    stars = stars.where(possible).select("a", "b").distinct()
-    first = cut(_verified(stars, docs, text, doc_id, words, threshold))
+    sketch = lambda x: one.selectExpr(f"doc_id as {x}", f"n as n{x}", f"bits as x{x}")
+    stars = bucketed.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = stars.join(sketch("a"), "a").join(sketch("b"), "b").where(possible).select("a", "b").distinct()
+    first = cut(_verified(cut(stars), docs, text, doc_id, words, threshold))
     label = components(first)
-    member = bucketed.join(label, "doc_id", "left").select("h", "doc_id", "s", F.col("hub.doc_id").alias("hub"), F.coalesce("group_id", "doc_id").alias("g"))
+    member = bucketed.join(label, "doc_id", "left").select("h", "doc_id", "hub", F.coalesce("group_id", "doc_id").alias("g"))
     several = member.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h")
-    open_ = cut(member.join(several, "h", "left_semi"))
-    side = lambda x: open_.selectExpr("h", f"doc_id as {x}", f"g as g{x}", f"s.n as n{x}", f"s.bits as x{x}", "hub")
+    open_ = member.join(several, "h", "left_semi")
+    side = lambda x: open_.select("h", "hub", F.col("doc_id").alias(x), F.col("g").alias(f"g{x}")).join(sketch(x), x)
     # All pairs of a bucket that are still apart; they are compared by their sketches where they meet, and few go on.
     rest = side("a").join(side("b").drop("hub"), "h").where("a < b and ga <> gb and a <> hub").where(possible).select("a", "b").distinct()
     second = _verified(cut(rest), docs, text, doc_id, words, threshold)
