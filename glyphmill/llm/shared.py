@@ -79,7 +79,7 @@ def byte_size(df: DataFrame) -> int:
     return df.agg(F.sum(total)).first()[0] or 0
 
 
-def small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
     """``df``, which is checkpointed, marked for broadcast if its values have no more than ``most`` bytes; else the join shuffles."""
     return F.broadcast(df) if byte_size(df) <= most else df
 
