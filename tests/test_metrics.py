@@ -176,3 +176,11 @@ def test_depth_at_equals_counting(spark):
     got = I.depth_at(spark.createDataFrame(points, "path string, ord long, row long"), spark.createDataFrame(spans, "path string, start_row long, end_row long"))
     want = sorted((p, k, r, sum(q == p and a <= r <= b for q, a, b in spans)) for p, k, r in points)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_touched_equals_looking_at_each_point(spark):
+    rng = random.Random(6)
+    ranges = [(f"p{rng.randrange(4)}", k, a, a + rng.randrange(-1, 6)) for k, a in enumerate(rng.randrange(60) for _ in range(200))]
+    points = [(f"p{rng.randrange(5)}", rng.randrange(60)) for _ in range(40)]
+    got = I.touched(spark.createDataFrame(ranges, "path string, ord long, start_line long, end_line long"), spark.createDataFrame(points, "path string, line long"))
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in ranges if any(p == r[0] and r[2] <= x <= r[3] for p, x in points))
