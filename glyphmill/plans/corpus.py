@@ -173,7 +173,7 @@ def lay_out(root: str, files: Iterable[tuple[str, str | None]]) -> None:
 
 
 def repository(spark: SparkSession, sf_dir: str) -> str:
-    """A git repository of files of nations n, with revisions main~1 and main between which those with n % 4 = 1 are modified, 2 deleted and 3 added."""
+    """A git repository of files of nations n, with revisions main~1 and main between which those with n % 4 = 1 are modified, 2 deleted and 3 added; those with n % 8 = 0 get a comment, others stay."""
     root = work_dir(spark)
 
     def git(*args: str) -> None:
@@ -188,6 +188,7 @@ def repository(spark: SparkSession, sf_dir: str) -> str:
     git("add", "-A")
     git("commit", "-qm", "before")
     lay_out(root, [(f"n{n:02d}.sol", after.format(n=n)) for n in keys if n % 4 == 1] + [(f"n{n:02d}.go", None) for n in keys if n % 4 == 2])
+    lay_out(root, [(f"n{n:02d}.sol", kept.format(n=n) + "// end\n") for n in keys if n % 8 == 0])
     lay_out(root, [(f"n{n:02d}.rs", fresh.format(n=n)) for n in keys if n % 4 == 3])
     git("add", "-A")
     git("commit", "-qm", "after")

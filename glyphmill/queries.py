@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import expressions as X
-from .languages import LANGUAGES, language_dim, language_of
+from .languages import LANGUAGES, REGISTRY, Language, language_dim, language_of, register, route
 from .operators import diff as D
 from .operators import graph as G
 from .operators import intervals as I
@@ -245,6 +245,26 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("path", F.posexplode("signatures").alias("ord", "signature")).withColumn("ord", F.col("ord").cast("long"))
 
 
+@_query(f"SELECT path, 2 + c AS start_line, 2 + c + signature_rows + 2 * d + 1 AS end_line FROM ({_PART})")
+def function_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of functions, from 1."""
+    return M.signatures(scan_files(source_files(spark, sf_dir))).select("path", "start_line", "end_line")
+
+
+@_query("""SELECT 'z' || p_partkey || '.zig' AS path, 'zig' AS language, 2 * d + 3 AS nloc, d * (d + 1) // 2 AS complexity FROM (SELECT p_partkey, (p_size % 6)::BIGINT AS d FROM part WHERE p_partkey % 10 = 0)""")
+def registered_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of files in a language that only the session knows."""
+    register(Language("zig", ("zig",), 300, 12, 9, 0.3, 0.6, 18, 0.3, branches=frozenset({"if", "while"}), function=("fn",), block=False))
+    try:
+        d = F.expr("p_size % 6")
+        content = F.concat(F.lit("fn f() void {\n"), F.repeat(F.lit("  if (a) {\n"), d), F.lit("    g();\n"), F.repeat(F.lit("  }\n"), d), F.lit("}"))
+        rows = table(spark, sf_dir, "part").where("p_partkey % 10 = 0")
+        files = route(rows.select(F.concat(F.lit("z"), "p_partkey", F.lit(".zig")).alias("path"), content.alias("content")))
+        return M.file_metrics(files, facts_of(files)).select("path", "language", "nloc", "complexity")
+    finally:
+        del REGISTRY["zig"]
+
+
 @_query("""SELECT p_partkey, CASE WHEN length(s) > 80 THEN left(s, 77) || '...' ELSE s END AS short, CASE WHEN length(s) > 120 THEN left(s, 117) || '...' ELSE s END AS long
     FROM (SELECT p_partkey, repeat(p_name || p_type, (p_partkey % 9)::INT) AS s FROM part)""")
 def signature_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -630,11 +650,11 @@ def interval_nesting_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The tools, over files and repositories.
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> str:
+def _tree(spark: SparkSession, sf_dir: str, *more: tuple[str, str]) -> str:
     """The files of the first 150 parts, which have all languages, and files that don't count, in a folder."""
     root = corpus.work_dir(spark)
     rows = source_files(spark, sf_dir).where("file_ord <= 150").select("path", "content").collect()
-    corpus.lay_out(root, [tuple(r) for r in rows] + [("src/notes.txt", "x"), ("src/.hidden.go", "package p\n"), ("other/z.go", "package p\nfunc Z() {}\n")])
+    corpus.lay_out(root, [tuple(r) for r in rows] + [("src/notes.txt", "x"), ("src/.hidden.go", "package p\n"), ("other/z.go", "package p\nfunc Z() {}\n"), *more])
     return root
 
 
@@ -643,8 +663,8 @@ _FIRST = f"SELECT * FROM ({_PART}) WHERE k <= 150"
 
 @_query(f"SELECT path, {_SIGNATURE} AS signature FROM ({_FIRST}) WHERE language <> 'rust'")
 def tool_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures of files that globs find, one pattern taking matches of another away."""
-    return api.peek(spark, ["src/**/*", "!**/*.rs"], _tree(spark, sf_dir)).select("path", F.explode("signatures").alias("signature"))
+    """Signatures of files that globs find, one pattern taking matches of another away; a file without functions has no row."""
+    return api.peek(spark, ["src/**/*", "!**/*.rs"], _tree(spark, sf_dir, ("src/none.go", "package p\n"))).select("path", F.explode("signatures").alias("signature"))
 
 
 @_query(f"SELECT * FROM ({_METRICS}) WHERE path IN (SELECT path FROM ({_FIRST}))")
@@ -680,10 +700,11 @@ def tool_execution_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.execution_paths(spark, "**/*.sol", root).select("root", "path", "rank")
 
 
-_CHANGES = """SELECT n_nationkey AS n, 'n' || lpad(n_nationkey::VARCHAR, 2, '0') || ['', '.sol', '.go', '.rs'][1 + n_nationkey % 4] AS path, ['', 'modified', 'deleted', 'added'][1 + n_nationkey % 4] AS status FROM nation WHERE n_nationkey % 4 > 0"""
+#: Of the files that change, those with n % 8 = 0 get a comment and no function of theirs changes.
+_CHANGES = """SELECT n_nationkey AS n, 'n' || lpad(n_nationkey::VARCHAR, 2, '0') || ['.sol', '.sol', '.go', '.rs'][1 + n_nationkey % 4] AS path, ['modified', 'modified', 'deleted', 'added'][1 + n_nationkey % 4] AS status, n_nationkey % 8 = 0 AS noted FROM nation WHERE n_nationkey % 4 > 0 OR n_nationkey % 8 = 0"""
 
 
-@_query(f"""SELECT path, status, CASE status WHEN 'modified' THEN '--- a/' || path || '|+++ b/' || path || '|@@ -1,6 +1,8 @@| contract N' || n || ' {{|   function a' || n || '() public {{|-    x = 1;|+    if (y) {{|+      x = 2;|+    }}|   }}|-  function old' || n || '() public {{}}|+  function new' || n || '() public {{}}| }}'
+@_query(f"""SELECT path, status, CASE CASE WHEN noted THEN 'noted' ELSE status END WHEN 'noted' THEN '--- a/' || path || '|+++ b/' || path || '|@@ -4,3 +4,4 @@ contract N' || n || ' {{|   }}|   function old' || n || '() public {{}}| }}|+// end' WHEN 'modified' THEN '--- a/' || path || '|+++ b/' || path || '|@@ -1,6 +1,8 @@| contract N' || n || ' {{|   function a' || n || '() public {{|-    x = 1;|+    if (y) {{|+      x = 2;|+    }}|   }}|-  function old' || n || '() public {{}}|+  function new' || n || '() public {{}}| }}'
     WHEN 'deleted' THEN '--- a/' || path || '|+++ b//dev/null|@@ -1,5 +0,0 @@|-package p|-|-func Gone' || n || '(a int) {{|-' || chr(9) || 'println(a)|-}}'
     ELSE '--- a//dev/null|+++ b/' || path || '|@@ -0,0 +1,4 @@|+pub fn fresh' || n || '(b: u8) -> u8 {{|+    // note|+    b + 1|+}}' END AS diff FROM ({_CHANGES})""")
 def tool_diff_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -692,15 +713,15 @@ def tool_diff_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""SELECT path, status, CASE status WHEN 'modified' THEN 'function new' || n || '() public' WHEN 'added' THEN 'pub fn fresh' || n || '(b: u8) -> u8' ELSE '' END AS added,
-    CASE status WHEN 'modified' THEN 'function a' || n || '() public' ELSE '' END AS modified, CASE status WHEN 'modified' THEN 'function old' || n || '() public' WHEN 'deleted' THEN 'func Gone' || n || '(a int)' ELSE '' END AS removed FROM ({_CHANGES})""")
+    CASE status WHEN 'modified' THEN 'function a' || n || '() public' ELSE '' END AS modified, CASE status WHEN 'modified' THEN 'function old' || n || '() public' WHEN 'deleted' THEN 'func Gone' || n || '(a int)' ELSE '' END AS removed FROM ({_CHANGES}) WHERE NOT noted""")
 def tool_diff_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = api.diff(spark, "main~1", "main", output="signatures", cwd=corpus.repository(spark, sf_dir))
     return found.select("path", "status", *(F.array_join(c, "|").alias(c) for c in ("added", "modified", "removed")))
 
 
 @_query(f"""SELECT path, language, status, added_lines, removed_lines, diff_nloc, diff_complexity, density AS comment_density, {_hours("diff_nloc", "cx", "density")} AS estimated_hours FROM (
-    SELECT *, CASE status WHEN 'modified' THEN 'solidity' WHEN 'deleted' THEN 'go' ELSE 'rust' END AS language, CASE status WHEN 'deleted' THEN 0 ELSE 4 END::BIGINT AS added_lines, CASE status WHEN 'modified' THEN 2 WHEN 'deleted' THEN 5 ELSE 0 END::BIGINT AS removed_lines,
-      CASE status WHEN 'modified' THEN 4 WHEN 'deleted' THEN 0 ELSE 3 END::BIGINT AS diff_nloc, CASE status WHEN 'modified' THEN 3 ELSE 0 END::BIGINT AS diff_complexity, CASE status WHEN 'added' THEN 33.33 ELSE 0 END::DOUBLE AS density, CASE status WHEN 'modified' THEN 75 ELSE 0 END::DOUBLE AS cx
+    SELECT *, CASE status WHEN 'modified' THEN 'solidity' WHEN 'deleted' THEN 'go' ELSE 'rust' END AS language, CASE WHEN noted THEN 1 WHEN status = 'deleted' THEN 0 ELSE 4 END::BIGINT AS added_lines, CASE WHEN noted THEN 0 WHEN status = 'modified' THEN 2 WHEN status = 'deleted' THEN 5 ELSE 0 END::BIGINT AS removed_lines,
+      CASE WHEN noted OR status = 'deleted' THEN 0 WHEN status = 'modified' THEN 4 ELSE 3 END::BIGINT AS diff_nloc, CASE WHEN status = 'modified' AND NOT noted THEN 3 ELSE 0 END::BIGINT AS diff_complexity, CASE status WHEN 'added' THEN 33.33 ELSE 0 END::DOUBLE AS density, CASE WHEN status = 'modified' AND NOT noted THEN 75 ELSE 0 END::DOUBLE AS cx
     FROM ({_CHANGES})) JOIN {_DIM} USING (language)""")
 def tool_diff_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.diff_metrics(spark, "main~1", "main", cwd=corpus.repository(spark, sf_dir)).rows
