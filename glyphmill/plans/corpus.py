@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import subprocess
 import tempfile
 from collections.abc import Callable, Iterable
@@ -157,7 +159,9 @@ def work_dir(spark: SparkSession) -> str:
     """A new folder for files that tools read by path: on this machine, where globs and git look for them."""
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("files are laid out on the driver's machine, which executors of a cluster don't see")
-    return tempfile.mkdtemp(prefix="glyphmill-tree-")
+    folder = tempfile.mkdtemp(prefix="glyphmill-tree-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def lay_out(root: str, files: Iterable[tuple[str, str | None]]) -> None:

@@ -81,6 +81,8 @@ class Source:
         #: The innermost brace around each token, -1 if there is none, and for braces whether a type's members are in it.
         self.brace: list[int] = []
         self._types: dict[int, bool] = {-1: False}
+        self._ends: dict[int, int] = {}
+        self._starts: dict[int, int] = {}
         stack: list[int] = []
         depth, braces = 0, [-1]
         for i, (kind, t, _, _) in enumerate(self.tokens):
@@ -151,34 +153,45 @@ class Source:
     # Statements: the last token of what begins at i.
 
     def statement(self, i: int) -> int:
-        n = len(self.tokens)
-        todo = i
-        while todo < n:  # else chains are followed in a loop, so their length doesn't matter
-            if self.is_(todo, "{"):
-                return self.pair.get(todo, n - 1)
-            w = self.word(todo)
-            if w == "do":
-                end = self.statement(todo + 1)
-                if self.is_(end + 1, "while"):
-                    end = self.after(end + 2) - 1
-                    return end + 1 if self.is_(end + 1, ";") else end
-                return end
-            if w == "try":
-                end = self.statement(self.block_start(todo + 1))
-                while self.is_(end + 1, "catch", "finally"):
-                    end = self.statement(self.block_start(end + 2))
-                return end
-            if w in ("if", "while", "for", "switch", "match", "repeat", "loop", "select", "comptime"):
-                body = self.condition_end(todo)
-                if body >= n:
-                    return n - 1
-                end = self.statement(body)
-                if w == "if" and self.is_(end + 1, "else"):
-                    todo = end + 2
-                    continue
-                return end
-            return self.plain_end(todo)
-        return n - 1
+        """Else chains are followed in a loop, and their end is that of each branch in them, so their length doesn't matter."""
+        n, todo, chain, end = len(self.tokens), i, [], len(self.tokens) - 1
+        while todo < n:
+            if todo in self._ends:
+                end = self._ends[todo]
+                break
+            chain.append(todo)
+            end, following = self._one(todo)
+            if following is None:
+                break
+            todo = following
+        else:
+            end = n - 1
+        self._ends.update(dict.fromkeys(chain, end))
+        return end
+
+    def _one(self, i: int) -> tuple[int, int | None]:
+        """The last token of a statement, or of one with a branch and the first of what follows its else."""
+        if self.is_(i, "{"):
+            return self.pair.get(i, len(self.tokens) - 1), None
+        w = self.word(i)
+        if w == "do":
+            end = self.statement(i + 1)
+            if self.is_(end + 1, "while"):
+                end = self.after(end + 2) - 1
+                return (end + 1 if self.is_(end + 1, ";") else end), None
+            return end, None
+        if w == "try":
+            end = self.statement(self.block_start(i + 1))
+            while self.is_(end + 1, "catch", "finally"):
+                end = self.statement(self.block_start(end + 2))
+            return end, None
+        if w in ("if", "while", "for", "switch", "match", "repeat", "loop", "select", "comptime"):
+            body = self.condition_end(i)
+            if body >= len(self.tokens):
+                return len(self.tokens) - 1, None
+            end = self.statement(body)
+            return end, end + 2 if w == "if" and self.is_(end + 1, "else") else None
+        return self.plain_end(i), None
 
     def plain_end(self, i: int) -> int:
         last = i
@@ -589,13 +602,20 @@ class Source:
             yield self.receiver_start(k), k, self.pair[i]
 
     def receiver_start(self, k: int) -> int:
+        """The first token of what the name k is called on. Links of a chain are asked for from left to right, so each takes one step."""
+        name = k
         while self.is_(k - 1, ".", "::", "?."):
             k -= 2
             while k > 0 and self.is_(k, ")", "]") and k in self.pair:
                 k = self.pair[k] - 1
                 if not (self.tokens[k][0] == "word" or self.is_(k, ")", "]")):
+                    self._starts[name] = k + 1
                     return k + 1
-        return max(k, 0)
+            if k in self._starts:
+                k = self._starts[k]
+                break
+        self._starts[name] = max(k, 0)
+        return self._starts[name]
 
     def literals(self) -> Iterator[tuple[str, int, int]]:
         for sign in self.language.literals:
@@ -620,14 +640,35 @@ def _span(src: Source, s: int, e: int) -> dict:
     return {"start_idx": a, "end_idx": b, "start_row": row, "start_col": a - src.starts[row], "end_row": src.row(max(a, b - 1))}
 
 
-def _nested(spans: list[tuple[int, int, int | None]]) -> list[int]:
-    """For each (start, end, body), in the order of starts and of falling ends, how many strictly contain it; one with a body only what begins before that."""
+def _depths(spans: list[tuple[int, int]]) -> list[int]:
+    """For each (start, end), in the order of starts and of falling ends, how many strictly contain it; what is open is a stack, all of which contains a span that its top does."""
     out: list[int] = []
-    open_: list[tuple[int, int, int]] = []
+    stack: list[tuple[int, int]] = []
+    proper = True  # as long as spans are nested or apart
+    for start, end in spans:
+        while stack and stack[-1][1] <= start:
+            stack.pop()
+        proper = proper and (not stack or stack[-1][1] >= end)
+        if proper:
+            same = 0
+            while same < len(stack) and stack[-1 - same] == (start, end):
+                same += 1
+            out.append(len(stack) - same)
+        else:
+            out.append(sum(e >= end and (s, e) != (start, end) for s, e in stack))
+        stack.append((start, end))
+    return out
+
+
+def _inner(spans: list[tuple[int, int, int | None]]) -> list[bool]:
+    """For each (start, end, body), in that order, whether another strictly contains it; one with a body only what begins before that."""
+    out: list[bool] = []
+    stack: list[tuple[int, int, int]] = []
     for start, end, body in spans:
-        open_ = [x for x in open_ if x[1] > start]
-        out.append(sum(e >= end and (s < start or e > end) and start < b for s, e, b in open_))
-        open_.append((start, end, end + 1 if body is None else body))
+        while stack and stack[-1][1] <= start:
+            stack.pop()
+        out.append(any(e >= end and (s, e) != (start, end) and start < b for s, e, b in stack))  # the outermost, which comes first, mostly does
+        stack.append((start, end, end + 1 if body is None else body))
     return out
 
 
@@ -642,7 +683,7 @@ def scan(path: str, language: str | Language, text: str) -> Iterator[dict]:
         covered = max(covered, last)
         yield {"fact": "comment", "ord": k, "start_idx": a, "end_idx": b, "start_row": first, "end_row": last, "rows": len(own), "bare_rows": bare}
     branches = sorted(src.branches(), key=lambda x: (x[1], -x[2]))
-    for k, ((kind, a, b), depth) in enumerate(zip(branches, _nested([(a, b, None) for _, a, b in branches]))):
+    for k, ((kind, a, b), depth) in enumerate(zip(branches, _depths([(a, b) for _, a, b in branches]))):
         yield {"fact": "branch", "ord": k, "kind": kind, "start_idx": a, "end_idx": b, "start_row": src.row(a), "end_row": src.row(max(a, b - 1)), "depth": depth}
     functions = src.functions()
     containers = list(_containers(src))
@@ -664,8 +705,8 @@ def scan(path: str, language: str | Language, text: str) -> Iterator[dict]:
     norms += [_span(src, s, e) | {"fact": "norm", "ord": 10_000_000 + k, "kind": "call"} for k, (s, _, e) in enumerate(calls)]
     norms += [_span(src, s, e) | {"fact": "norm", "ord": 20_000_000 + k, "kind": kind} for k, (kind, s, e) in enumerate(src.literals())]
     norms.sort(key=lambda x: (x["start_idx"], -x["end_idx"]))
-    for x, depth in zip(norms, _nested([(x["start_idx"], x["end_idx"], x.get("body_idx")) for x in norms])):
-        yield x | {"depth": min(depth, 1)}
+    for x, inner in zip(norms, _inner([(x["start_idx"], x["end_idx"], x.get("body_idx")) for x in norms])):
+        yield x | {"depth": int(inner)}
     for k, c in enumerate(containers):
         yield _span(src, c["s"], c["e"]) | {"fact": "container", "ord": k, "kind": c["kind"], "name": c["name"], "names": c["parents"], "libs": c["libs"]}
     if name in ("solidity", "rust", "go"):

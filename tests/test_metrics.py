@@ -184,3 +184,37 @@ def test_touched_equals_looking_at_each_point(spark):
     points = [(f"p{rng.randrange(5)}", rng.randrange(60)) for _ in range(40)]
     got = I.touched(spark.createDataFrame(ranges, "path string, ord long, start_line long, end_line long"), spark.createDataFrame(points, "path string, line long"))
     assert sorted(map(tuple, got.collect())) == sorted(r for r in ranges if any(p == r[0] and r[2] <= x <= r[3] for p, x in points))
+
+
+def test_depths_equal_counting():
+    from glyphmill.sources.scanner import _depths, _inner
+
+    rng = random.Random(12)
+    for k in range(300):
+        spans = []
+        for _ in range(rng.randrange(1, 25)):
+            a = rng.randrange(30)
+            spans.append((a, a + rng.randrange(1, 12)))
+        spans = sorted(spans, key=lambda x: (x[0], -x[1]))
+        if k % 2:  # nested or apart
+            kept = []
+            for x in spans:
+                if all(y[1] <= x[0] or y[1] >= x[1] for y in kept):
+                    kept.append(x)
+            spans = kept
+        around = lambda x: [y for y in spans if y[0] <= x[0] and y[1] >= x[1] and y != x]
+        assert _depths(spans) == [len(around(x)) for x in spans]
+        bodies = {x: rng.choice([None, rng.randrange(x[0], x[1])]) for x in spans}
+        assert _inner([(*x, bodies[x]) for x in spans]) == [any(bodies[y] is None or x[0] < bodies[y] for y in around(x)) for x in spans]
+
+
+def test_long_chains_take_linear_time():
+    """Else chains of 5,000 branches and 20,000 calls in one expression, which are all nested in each other."""
+    import time
+
+    began = time.time()
+    facts = list(scan("f", "go", "package p\nfunc f() {\n" + " else ".join(f"if a == {k} {{ g() }}" for k in range(5000)) + "\n}\n"))
+    assert max(r["depth"] for r in facts if r["fact"] == "branch") == 4999
+    facts = list(scan("f", "javascript", "x" + ".y(1)" * 20_000))
+    assert sum(r["fact"] == "norm" and not r["depth"] for r in facts) == 1
+    assert time.time() - began < 30
