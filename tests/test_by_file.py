@@ -73,3 +73,26 @@ def test_changes_of_files_alone(files):
     changes = files.select("path", kind.alias("status"), F.expr("array(3L, 3L, null, 0L, 99L, 1L, 2L, 4L, 5L, 6L, 7L, 8L, 9L, 12L)").alias("added"), F.expr("array(1L)").alias("removed"))
     got = D.metrics_of(changes, files)
     assert _rows(got) == _rows(D.diff_metrics(changes, files, api.facts_of(files))) and got.where("diff_complexity > 0").count() > 20
+
+
+def test_the_metrics_tool_reads_all_files(spark, tmp_path):
+    """More parts than the 150 that it was cut to."""
+    from glyphmill import queries as Q
+
+    spark.range(400).selectExpr("id as p_partkey", "int(id % 50) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    assert _rows(Q.tool_metrics(spark, str(tmp_path))) == _rows(Q.file_metrics(spark, str(tmp_path)))
+    assert "150" not in Q.oracle_sql()["tool_metrics"]
+
+
+def test_reading_follows_resolve(spark, tmp_path):
+    from glyphmill.sources import files as S
+
+    for k, name in enumerate(("src/a.go", "src/b.rs", "src/x/B.RS", "src/x/ü c.sol", "src/.h.go", "src/n.txt", "o/[z].go", "src/x/y/d.ts")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"\xff// x" * k)
+    root = str(tmp_path)
+    for patterns in ("**/*", ["src/**/*", "!**/*.rs"], ["src/**/*", "!src/x/**", "src/x/*.{sol,ts}"], ["!**/*", "src/*.go"], ["**/*", "!**/*"], f"{root}/src/*", ["src/**/*", "src/**/**/*"], [], "../*/src/*.go"):
+        want = [p for p in S.resolve(patterns, root) if S.known(p)]
+        got = S.read(spark, patterns, root).collect()
+        assert sorted(f"{root}/{r.path}" if not r.path.startswith("/") else r.path for r in got) == want, patterns
+        assert all(r.content == open(f"{root}/{r.path}" if not r.path.startswith("/") else r.path, "rb").read().decode("utf-8", "replace") for r in got)
